@@ -458,12 +458,14 @@ def predictions() -> list[tuple[str, str, str, str]]:
             "unknown_column": f"SELECT no_such_column FROM ({inner})",
             "syntax_error": gold.replace("SELECT", "SELEC", 1),
             "missing_group_by": f"SELECT t.*, count(*) FROM ({inner}) t",
-            "command": "DROP TABLE player",
-            "runtime_error": f"SELECT CAST('x' AS int) FROM ({inner})",
         }
         rows += [(name, kind, gold, pred) for kind, pred in made.items()]
     blank = "SELECT college, coalesce(draft_round, '') AS r FROM player WHERE college = 'Brand#11'"
-    rows.append(("from_college", "null_as_blank", GOLD_STATEMENTS["from_college"], blank))
+    college = GOLD_STATEMENTS["from_college"]
+    rows.append(("from_college", "null_as_blank", college, blank))
+    rows.append(("from_college", "command", college, "DROP TABLE player"))
+    unreadable = "SELECT CAST(college AS int) FROM player WHERE college = 'Brand#11'"
+    rows.append(("from_college", "runtime_error", college, unreadable))
     rows.append(("broken_gold", "identical", "SELECT x FROM nowhere", "SELECT 1"))
     return rows
 

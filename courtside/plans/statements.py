@@ -77,7 +77,7 @@ def run_statements(
 
     ``rows`` is ``(statement_id, row)`` in comparable text form, written by Spark to the
     shared folder, a chunk of statements per job so that plans stay small. A chunk that
-    fails while running is repeated statement by statement to find the culprit.
+    fails while running is halved until the failing statements stand alone.
     """
     path = scratch_path(spark, "statement-rows")
     spark.createDataFrame([], "statement_id bigint, row array<string>").write.parquet(path)
@@ -101,8 +101,9 @@ def run_statements(
             if len(batch) == 1:
                 fail(batch[0][0], batch[0][1], *_failure(error))
                 return
-            for one in batch:
-                flush([one])
+            half = len(batch) // 2
+            flush(batch[:half])
+            flush(batch[half:])
 
     waiting: list[tuple[int, str, DataFrame]] = []
     for statement_id, sql in statements:

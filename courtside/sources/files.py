@@ -101,7 +101,7 @@ def write_summary(lines: DataFrame, folder: str, at: datetime | None = None) ->
     """A report of a few dozen ordered ``(line_no, line)`` rows as one text file."""
     stamp = (at or datetime.now()).strftime("%Y-%m-%d_%H-%M-%S")
     path = f"{folder}/eval_summary_{stamp}"
-    lines.orderBy("line_no").coalesce(1).select("line").write.text(path, mode="overwrite")
+    lines.orderBy("line_no").coalesce(1).select("line").write.mode("overwrite").text(path)
     return path
 
 
