@@ -29,6 +29,18 @@ def strip(value: Column | str) -> Column:
     return F.regexp_replace(_col(value), STRIP, "")
 
 
+def _starts_visibly(text: Column) -> Column:
+    """A quick test that spares most values the pattern: a visible ASCII first character."""
+    return F.ascii(text).between(33, 126)
+
+
+def strip_plain(name: str) -> Column:
+    """``strip`` of a text column itself; only values with odd ends meet the pattern."""
+    text = F.col(f"`{name}`")
+    clean_ends = _starts_visibly(text) & _starts_visibly(F.right(text, F.lit(1)))
+    return F.when(clean_ends, text).otherwise(strip(text))
+
+
 def safe_int(value: Column | str) -> Column:
     """Integer or NULL. Text must be a whole number; a float is truncated."""
     return _col(value).try_cast("int")
@@ -74,7 +86,9 @@ def blank_to_null(value: Column | str, dtype: T.DataType | None = None) -> Colum
     column = _col(value)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(column), column)
-    return F.when(~column.rlike(rf"(?U)^{SPACE}*$"), column)
+    return F.when(_starts_visibly(column), column).when(
+        ~column.rlike(rf"(?U)^{SPACE}*$"), column
+    )
 
 
 def na_to_null(value: Column | str, tokens: Iterable[str] = DEFAULT_NA) -> Column:

@@ -140,15 +140,10 @@ def render_chat(
     that is shorter has one part, and one of any length is never gathered in a task.
     """
     part = F.floor(F.col(turn) / turns_per_part).alias("part")
-    ends = df.groupBy(conv).agg(
-        F.min(F.struct(F.col(turn).alias("t"), F.col(role).alias("r"))).alias("_first"),
+    ends = df.groupBy(F.col(conv).alias("_conv")).agg(
+        F.min(turn).alias("_first_turn"),
         F.max(turn).alias("_last_turn"),
-    )
-    ends = ends.select(
-        F.col(conv).alias("_conv"),
-        F.col("_first.t").alias("_first_turn"),
-        (F.col("_first.r") == "system").alias("_opens_with_system"),
-        "_last_turn",
+        F.min(F.when(F.col(role) == "system", F.col(turn))).alias("_system_turn"),
     )
     parts = df.groupBy(conv, part).agg(
         F.sort_array(
@@ -161,7 +156,7 @@ def render_chat(
     )
     joined = parts.join(ends, F.col(conv) == F.col("_conv"))
     is_first = F.col("_turns")[0].t == F.col("_first_turn")
-    takes_system = is_first & F.col("_opens_with_system")
+    takes_system = is_first & F.col("_first_turn").eqNullSafe(F.col("_system_turn"))
     opening = F.when(
         is_first,
         _system_block(

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtside.session import broadcast_if_small, pin
+
 OrderCols = Sequence[Column | str]
 
 
@@ -38,24 +40,45 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order_cols: OrderCols) -> Da
     return _one_per_key(df, keys, _descending(order_cols))
 
 
-def insert_ignore(
+def fresh_rows(
     target: DataFrame,
     batch: DataFrame,
     keys: Sequence[str],
     order_cols: OrderCols,
     nullable_keys: bool = False,
+    narrow_by: str | None = None,
 ) -> DataFrame:
-    """``ON CONFLICT DO NOTHING``: stored rows win, then the first arrival.
+    """The batch rows an insert-ignore adds: first arrivals of keys not yet stored.
 
-    Only the target's key columns take part in the join; its full rows are not
-    shuffled. With ``nullable_keys`` rows whose key holds a NULL never conflict.
+    Only the target's key columns take part in the join. ``narrow_by`` names a key
+    column with few distinct values in the batch (a season's games, say): stored keys
+    are then cut down to those values where they are read, before any shuffle. With
+    ``nullable_keys`` rows whose key holds a NULL never conflict.
     """
     keyed = batch.dropna(subset=list(keys)) if nullable_keys else batch
-    fresh = dedupe_first(keyed, keys, order_cols).join(
-        target.select(*keys), list(keys), "left_anti"
-    )
+    stored = target.select(*keys)
+    if narrow_by is not None:
+        touched = broadcast_if_small(pin(keyed.select(narrow_by).distinct()))
+        stored = stored.join(touched, narrow_by, "left_semi")
+    fresh = dedupe_first(keyed, keys, order_cols).join(stored, list(keys), "left_anti")
     if nullable_keys:
         fresh = fresh.unionByName(batch.filter(null_key(keys)))
+    return fresh
+
+
+def insert_ignore(
+    target: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    order_cols: OrderCols,
+    nullable_keys: bool = False,
+    narrow_by: str | None = None,
+) -> DataFrame:
+    """``ON CONFLICT DO NOTHING``: stored rows win, then the first arrival.
+
+    The target's full rows are passed through unshuffled; see ``fresh_rows``.
+    """
+    fresh = fresh_rows(target, batch, keys, order_cols, nullable_keys, narrow_by)
     return target.unionByName(fresh.select(*target.columns))
 
 

@@ -9,8 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from courtside.functions.cleaning import strip
+from courtside.functions.cleaning import strip_plain
 
 GOLD, PRED = "gold", "pred"
 
@@ -18,9 +19,13 @@ GOLD, PRED = "gold", "pred"
 def row_array(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """A row's values as stripped text, missing ones as empty text."""
     names = df.columns if columns is None else columns
-    values = [
-        F.coalesce(strip(F.col(f"`{c}`").cast("string")), F.lit("")) for c in names
-    ]
+
+    def text(name: str) -> Column:
+        if isinstance(df.schema[name].dataType, T.StringType):
+            return strip_plain(name)
+        return F.col(f"`{name}`").cast("string")
+
+    values = [F.coalesce(text(c), F.lit("")) for c in names]
     return F.array(*values).cast("array<string>")
 
 

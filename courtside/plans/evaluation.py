@@ -15,7 +15,7 @@ from courtside.functions.sqltext import (
 )
 from courtside.operators.results import GOLD, PRED, compare_results
 from courtside.plans.statements import run_statements
-from courtside.session import pin
+from courtside.session import broadcast_if_small, pin
 
 
 def with_distances(df: DataFrame, gold: str = "gold_sql", pred: str = "pred_sql") -> DataFrame:
@@ -32,17 +32,14 @@ def _texts(statements: DataFrame) -> Iterator[tuple[int, str]]:
         yield row.statement_id, row.sql
 
 
-def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 50) -> DataFrame:
-    """Run and compare the distinct ``(gold_sql, pred_sql)`` pairs.
+def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 20) -> DataFrame:
+    """Run and compare distinct ``(gold_sql, pred_sql)`` pairs with a ``pair_id``.
 
-    Adds ``gold_ok``, ``pred_err`` (empty if it ran), ``error_class`` and ``correct``.
-    Every distinct statement runs once, however many examples use it.
+    ``pairs`` must be pinned. Adds ``gold_ok``, ``pred_err`` (empty if it ran),
+    ``error_class`` and ``correct``. Every distinct statement runs once.
     """
-    distinct = pairs.select("gold_sql", "pred_sql").distinct()
-    texts = distinct.select(F.explode(F.array("gold_sql", "pred_sql")).alias("sql")).distinct()
-    # The ids are used on three sides; pinned, a rerun of one cannot change them.
+    texts = pairs.select(F.explode(F.array("gold_sql", "pred_sql")).alias("sql")).distinct()
     statements = pin(texts.withColumn("statement_id", F.monotonically_increasing_id()))
-    numbered = pin(distinct.withColumn("example_id", F.monotonically_increasing_id()))
     rows, outcomes = run_statements(spark, _texts(statements), chunk)
     error_class = classify_condition("condition", F.col("unknown_qualifier"))
     known = statements.join(outcomes, "statement_id").select(
@@ -60,11 +57,11 @@ def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 50) -> Dat
         F.when(F.col("ok"), "").otherwise(F.col("message")).alias("pred_err"),
         F.when(~F.col("ok"), F.col("error_class")).alias("error_class"),
     )
-    judged = numbered.join(gold, "gold_sql").join(pred, "pred_sql")
+    judged = pin(pairs.join(gold, "gold_sql").join(pred, "pred_sql"))
+    both_ran = F.col("gold_ok") & F.col("pred_ok")
+    same = F.col("gold_id") == F.col("pred_id")
     # Equal statements give equal results; only differing ones need their rows.
-    ran = judged.filter(
-        F.col("gold_ok") & F.col("pred_ok") & (F.col("gold_id") != F.col("pred_id"))
-    )
+    ran = judged.filter(both_ran & ~same).withColumn("example_id", F.col("pair_id"))
     sides = ran.select(
         "example_id",
         F.explode(
@@ -74,26 +71,28 @@ def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 50) -> Dat
             )
         ).alias("s"),
     ).select("example_id", "s.side", "s.statement_id")
-    equal = compare_results(sides.join(rows, "statement_id"), ran)
-    same = F.col("gold_id") == F.col("pred_id")
-    correct = (
-        F.when(~F.col("gold_ok") | ~F.col("pred_ok"), 0)
-        .when(same, 1)
-        .otherwise(F.coalesce("correct", F.lit(0)))
-    )
-    return judged.join(equal, "example_id", "left").select(
-        "gold_sql", "pred_sql", "gold_ok", "pred_err", "error_class", correct.alias("correct")
+    # Broadcast, the pairs meet the rows where these are read, and equal rows are
+    # counted there before anything is shuffled.
+    sides = broadcast_if_small(sides)
+    equal = compare_results(rows.join(sides, "statement_id"), ran)
+    equal = equal.withColumnRenamed("example_id", "pair_id")
+    correct = F.when(~both_ran, 0).when(same, 1).otherwise(F.coalesce("correct", F.lit(0)))
+    return judged.join(equal, "pair_id", "left").select(
+        *pairs.columns, "gold_ok", "pred_err", "error_class", correct.alias("correct")
     )
 
 
-def evaluate(spark: SparkSession, examples: DataFrame, chunk: int = 50) -> DataFrame:
+def evaluate(spark: SparkSession, examples: DataFrame, chunk: int = 20) -> DataFrame:
     """Outcome rows for ``report``: examples with distances and execution results.
 
     ``examples`` has ``gold_sql`` and ``pred_sql``, and any of ``difficulty`` and
-    ``verdict``; other columns are kept.
+    ``verdict``; other columns are kept. Pairs that occur many times are measured and
+    run once.
     """
     defaults = {"difficulty": F.lit("unknown"), "verdict": F.lit(None).cast("string")}
     missing = {c: v for c, v in defaults.items() if c not in examples.columns}
-    full = with_distances(examples.withColumns(missing) if missing else examples)
-    executed = execute_pairs(spark, full, chunk)
-    return full.join(executed, ["gold_sql", "pred_sql"])
+    full = examples.withColumns(missing) if missing else examples
+    distinct = full.select("gold_sql", "pred_sql").distinct()
+    pairs = pin(distinct.withColumn("pair_id", F.monotonically_increasing_id()))
+    scored = with_distances(execute_pairs(spark, pairs, chunk)).drop("pair_id")
+    return full.join(scored, ["gold_sql", "pred_sql"])

@@ -71,7 +71,7 @@ def _result_rows(statement_id: int, df: DataFrame) -> DataFrame:
 
 
 def run_statements(
-    spark: SparkSession, statements: Iterable[tuple[int, str]], chunk: int = 50
+    spark: SparkSession, statements: Iterable[tuple[int, str]], chunk: int = 20
 ) -> tuple[DataFrame, DataFrame]:
     """Run many queries: ``(rows, outcomes)``.
 

@@ -23,9 +23,9 @@ from courtside.operators.integrity import (
     split,
     split_valid_batches,
 )
-from courtside.operators.keys import OrderCols, dedupe_first, insert_ignore, upsert
+from courtside.operators.keys import OrderCols, fresh_rows, insert_ignore, upsert
 from courtside.schemas import LOAD_ORDER, TABLES, TableSpec
-from courtside.session import pin
+from courtside.session import pin, scratch_path
 from courtside.sources.feeds import (
     normalise_game,
     normalise_game_log,
@@ -68,11 +68,13 @@ def load_all(
 ) -> CsvLoad:
     """Load a folder of table CSVs, parents first, replacing what is stored.
 
-    Each table's checked rows are written once, good and rejected ones in separate
-    partitions; everything later reads from there. A missing file skips its table,
-    which then counts as an empty parent.
+    Text is parsed once, into a typed staging table: the key checks read only its key
+    columns, and the arrival numbers are fixed. Checked rows are written once too, good
+    and rejected ones in separate partitions. A missing file skips its table, which
+    then counts as an empty parent.
     """
     load, staged = CsvLoad(), {}
+    staging = scratch_path(spark, "staging")
     parents = {name: empty_table(spark, TABLES[name]) for name in TABLES}
     for name in order:
         spec = TABLES[name]
@@ -83,6 +85,8 @@ def load_all(
                 raise
             load.skipped.append(name)
             continue
+        rows.write.parquet(f"{staging}/{name}")
+        rows = spark.read.schema(rows.schema).parquet(f"{staging}/{name}")
         flagged = flag_rows(rows, spec, parents, [ARRIVAL]).withColumn("_ok", is_good())
         path = f"{out_dir}/{name}"
         partitions = ["_ok", SEASON] if SEASON in spec.columns else ["_ok"]
@@ -241,8 +245,7 @@ def store_season(
     order = _order_columns(inputs.order_cols)
     for name, keys in (("player", ["player_id"]), ("game", ["game_id"])):
         if name in batches:
-            fresh = batches[name].join(state[name].select(*keys), keys, "left_anti")
-            write_table(fresh, root, name)
+            write_table(fresh_rows(state[name], batches[name], keys, keys), root, name)
     for name in ("player_season", TOTALS):
         if name in batches:
             keys = list(TABLES[name].unique)
@@ -251,9 +254,12 @@ def store_season(
             merged = pin(upsert(stored, batches[name], keys, keys))
             write_table(merged, root, name, "replace_seasons")
     if "player_game_log" in batches:
-        keys = ["player_id", "game_id"]
-        fresh = dedupe_first(batches["player_game_log"], keys, order).join(
-            state["player_game_log"].select(*keys), keys, "left_anti"
+        fresh = fresh_rows(
+            state["player_game_log"],
+            batches["player_game_log"],
+            ["player_id", "game_id"],
+            order,
+            narrow_by="game_id",
         )
         write_table(fresh, root, "player_game_log")
     if "play_by_play" in batches:
