@@ -11,7 +11,7 @@ from courtside.operators import integrity as checks
 from courtside.operators import keys as k
 from courtside.plans.warehouse import SeasonInputs, apply_season
 from courtside.schemas import TABLES
-from courtside.session import scratch_path
+from courtside.session import pin, scratch_path
 from courtside.sources.files import replace_all as store_all
 
 KEY = ["player_id", "game_id"]
@@ -120,7 +120,8 @@ def _parents(v: Views) -> dict[str, DataFrame]:
 
 
 def _faulty(v: Views) -> DataFrame:
-    return v["raw_game_log"].withColumn("team_id", F.nullif(F.col("team_id"), F.lit(5)))
+    # Stored like a landed feed: the checks read it more than once.
+    return pin(v["raw_game_log"].withColumn("team_id", F.nullif(F.col("team_id"), F.lit(5))))
 
 
 def _with_reasons(df: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def fk_batch_reject(v: Views) -> DataFrame:
 )
 def not_null_pk_reject(v: Views) -> DataFrame:
     holed = v["raw_game_log"].withColumn("player_id", F.nullif(F.col("player_id"), F.lit(7)))
-    flagged = checks.flag_rows(holed, LOG, {}, ARRIVAL)
+    flagged = checks.flag_rows(pin(holed), LOG, {}, ARRIVAL)
     return _with_reasons(flagged).drop("team_id")
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.operators.keys import dedupe_first
+from courtside.session import spread
 from courtside.sources.dims import EVENT_MESSAGE_TYPES, event_message_types
 
 ARRIVAL = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"]
+FACTS = {"lineitem", "orders", "events", "conversations"}
 LOG_STATS = "pts reb ast tov blk stl pf fgm fga fg3m fg3a".split()
 PGTT = "player_general_traditional_total"
 
@@ -30,7 +32,8 @@ class Views(dict):
         self.spark, self.folder = spark, folder
 
     def base(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return spread(scan) if table in FACTS else scan
 
     def __missing__(self, name: str) -> DataFrame:
         view = getattr(self, f"_{name}")()

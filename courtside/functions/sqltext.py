@@ -65,19 +65,28 @@ def sql_tokens(sql: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(strip(sql)), F.lit(TOKEN), F.lit(0))
 
 
-# One character per distinct token, from U+0100 on and over the surrogate gap.
+# One character per distinct token: a small vocabulary by its position, a larger one
+# from U+0100 on and over the surrogate gap.
 _FIRST_CODE = 256
 _SURROGATES = 0xD800
 _MAX_VOCABULARY = 0x110000 - _FIRST_CODE - 2048
 
 
-def _as_characters(tokens: Column, vocabulary: Column) -> Column:
-    def character(token: Column) -> Column:
-        code = F.array_position(vocabulary, token) + (_FIRST_CODE - 1)
-        code = F.when(code >= _SURROGATES, code + 2048).otherwise(code)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _small_code(position: Column) -> Column:
+    return F.char(position)
 
-    return F.array_join(F.transform(tokens, character), "")
+
+def _wide_code(position: Column) -> Column:
+    code = position + (_FIRST_CODE - 1)
+    code = F.when(code >= _SURROGATES, code + 2048).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _as_characters(
+    tokens: Column, vocabulary: Column, code: Callable[[Column], Column]
+) -> Column:
+    coded = F.transform(tokens, lambda t: code(F.array_position(vocabulary, t)))
+    return F.array_join(coded, "")
 
 
 def token_distance(a: Column | str, b: Column | str) -> Column:
@@ -89,14 +98,19 @@ def token_distance(a: Column | str, b: Column | str) -> Column:
     """
 
     def distance(q: Column) -> Column:
-        coded = F.levenshtein(_as_characters(q.a, q.v), _as_characters(q.b, q.v))
+        def coded(code: Callable[[Column], Column]) -> Column:
+            return F.levenshtein(
+                _as_characters(q.a, q.v, code), _as_characters(q.b, q.v, code)
+            )
+
         return (
             F.when(q.a == q.b, F.lit(0))
+            .when(F.size(q.v) < _FIRST_CODE, coded(_small_code))
             .when(
                 F.size(q.v) > _MAX_VOCABULARY,
                 F.raise_error(F.lit("too many distinct tokens in one pair")).cast("int"),
             )
-            .otherwise(coded)
+            .otherwise(coded(_wide_code))
         )
 
     pair = F.struct(_col(a).alias("a"), _col(b).alias("b"))
@@ -154,13 +168,17 @@ def count_conditions(sql: Column | str) -> Column:
     return F.when(s.contains(" where "), found).otherwise(0).cast("int")
 
 
-def _question(question: Column | str) -> Column:
+def question_text(question: Column | str) -> Column:
+    """The question as the rules look at it: lower-case, stripped, never missing."""
     return strip(F.lower(F.coalesce(_col(question), F.lit("nan"))))
 
 
-def question_type(question: Column | str) -> Column:
-    """Rough kind of question; the first matching rule wins."""
-    q = _question(question)
+def question_type(question: Column | str, prepared: bool = False) -> Column:
+    """Rough kind of question; the first matching rule wins.
+
+    With ``prepared`` the argument is already a ``question_text``.
+    """
+    q = _col(question) if prepared else question_text(question)
     return (
         F.when(_has_any(q, COMPARISON_WORDS), "comparison")
         .when(_has_any(q, TREND_WORDS), "trend")
@@ -178,8 +196,10 @@ def word_count(text: Column | str) -> Column:
     return F.size(F.filter(words, lambda w: w != "")).cast("int")
 
 
-def difficulty_score(question: Column | str, sql: Column | str) -> Column:
-    q = _question(question)
+def difficulty_score(
+    question: Column | str, sql: Column | str, prepared: bool = False
+) -> Column:
+    q = _col(question) if prepared else question_text(question)
     s = F.coalesce(_col(sql), F.lit("nan"))
     words = word_count(q)
     conditions = count_conditions(s)
@@ -192,12 +212,17 @@ def difficulty_score(question: Column | str, sql: Column | str) -> Column:
     return sum(wording, length + filters + sql_feature_count(s)).cast("int")
 
 
-def difficulty(question: Column | str, sql: Column | str) -> Column:
+def difficulty_label(score: Column | str) -> Column:
     """``easy``, ``medium`` or ``hard``."""
-    score = difficulty_score(question, sql)
+    score = _col(score)
     return F.when(score <= 3, "easy").when(score <= 7, "medium").otherwise("hard")
 
 
+def difficulty(question: Column | str, sql: Column | str) -> Column:
+    """The difficulty label of a question and its SQL."""
+    return difficulty_label(difficulty_score(question, sql))
+
+
 def classify_sql_error(message: Column | str, sql: Column | str | None = None) -> Column:
     """Class of a PostgreSQL error message; the first matching rule wins."""
     raw = _col(message)

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.functions.cleaning import strip
-from courtside.functions.sqltext import clean_sql, difficulty, question_type, word_count
+from courtside.functions.sqltext import (
+    clean_sql,
+    difficulty_label,
+    difficulty_score,
+    question_text,
+    question_type,
+    word_count,
+)
 from courtside.operators.keys import bucket_offsets, hash_order
 
 # ---------------------------------------------------------------------------
@@ -30,13 +37,17 @@ IGNORED_LABEL = -100
 
 def label_corpus(df: DataFrame, question: str = "input", sql: str = "output") -> DataFrame:
     """Add ``word_count``, ``query_type`` and ``difficulty``."""
-    return df.withColumns(
+    # The cleaned question and the score are columns of their own, so that the many
+    # rules on them do not each clean the text again.
+    prepared = df.withColumn("_q", question_text(question))
+    scored = prepared.withColumn("_score", difficulty_score("_q", sql, prepared=True))
+    return scored.withColumns(
         {
             "word_count": word_count(question),
-            "query_type": question_type(question),
-            "difficulty": difficulty(question, sql),
+            "query_type": question_type("_q", prepared=True),
+            "difficulty": difficulty_label("_score"),
         }
-    )
+    ).drop("_q", "_score")
 
 
 def label_counts(labelled: DataFrame) -> DataFrame:

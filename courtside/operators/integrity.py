@@ -158,7 +158,10 @@ def flag_rows(
     parents: dict[str, DataFrame],
     order_cols: OrderCols | None = None,
 ) -> DataFrame:
-    """All row checks of a table. Duplicate keys are tested where an order is given."""
+    """All row checks of a table. Duplicate keys are tested where an order is given.
+
+    ``df`` is read up to three times, twice only for its keys: pass a stored table.
+    """
     flagged = _add(df, [*domain_reasons(df, spec), *not_null_reasons(spec)])
     flagged = flag_orphans(flagged, spec, parents)
     if order_cols is not None:

@@ -15,7 +15,7 @@ from courtside.functions.sqltext import (
 )
 from courtside.operators.results import GOLD, PRED, compare_results
 from courtside.plans.statements import run_statements
-from courtside.session import broadcast_if_small, pin
+from courtside.session import broadcast_if_small, pin, spread
 
 
 def with_distances(df: DataFrame, gold: str = "gold_sql", pred: str = "pred_sql") -> DataFrame:
@@ -94,5 +94,8 @@ def evaluate(spark: SparkSession, examples: DataFrame, chunk: int = 20) -> DataF
     full = examples.withColumns(missing) if missing else examples
     distinct = full.select("gold_sql", "pred_sql").distinct()
     pairs = pin(distinct.withColumn("pair_id", F.monotonically_increasing_id()))
-    scored = with_distances(execute_pairs(spark, pairs, chunk)).drop("pair_id")
+    executed = execute_pairs(spark, pairs, chunk).drop("pair_id")
+    scored = with_distances(spread(pairs.drop("pair_id"))).join(
+        executed, ["gold_sql", "pred_sql"]
+    )
     return full.join(scored, ["gold_sql", "pred_sql"])

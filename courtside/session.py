@@ -53,3 +53,13 @@ def is_small(pinned: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(pinned: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to Spark."""
     return F.broadcast(pinned) if is_small(pinned, max_rows) else pinned
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of few splits to all cores; a scan of many is left as it is.
+
+    Files below the split size would keep a handful of cores busy, however costly the
+    work on their rows. Larger inputs already come in at least one split per core.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
