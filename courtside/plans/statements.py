@@ -57,9 +57,9 @@ def unknown_qualifier(sql: str, condition: str, message: str) -> bool:
     found = re.search(r"name `([^`]+)`\.`", message)
     if not found:
         return False
-    named = re.findall(r"(?i)\b(?:from|join|,)\s*(\w+)(?:\s+(?:as\s+)?(\w+))?", sql)
-    known = {word.lower() for pair in named for word in pair if word}
-    return found.group(1).lower() not in known
+    # A table or alias is named somewhere without a dot behind it.
+    named = rf"(?i)\b{re.escape(found.group(1))}\b(?!\s*\.)"
+    return re.search(named, sql) is None
 
 
 def _result_rows(statement_id: int, df: DataFrame) -> DataFrame:
