@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.catalogue import number, query
-from courtside.catalogue.text import error_text
+from courtside.catalogue.text import SIMILARITY, distances_text, error_text
 from courtside.fixtures import PGTT, Views, with_views
+from courtside.functions.sqltext import CONDITION_CLASSES
 from courtside.operators import report, results
 from courtside.operators.corpus import judge_prompt as with_judge_prompt
 from courtside.plans.evaluation import evaluate
@@ -503,6 +504,11 @@ def _statement_texts() -> list[str]:
     return sorted({sql for _, _, gold, pred in predictions() for sql in (gold, pred)})
 
 
+def _duck(text: str) -> str:
+    """A statement for DuckDB, where a share must be a double to compare as in Spark."""
+    return text.rstrip(";").replace("fg3_pct > 0.40", "fg3_pct::double > 0.40::double")
+
+
 def _statements_sql() -> str:
     faulty = {pred: _CONDITIONS[kind] for _, kind, _, pred in predictions() if kind in _CONDITIONS}
     faulty |= {gold: "TABLE_OR_VIEW_NOT_FOUND" for name, _, gold, _ in predictions()
@@ -511,9 +517,7 @@ def _statements_sql() -> str:
     def line(i: int, text: str) -> str:
         if text in faulty:
             return f"SELECT CAST({i} AS bigint), false, '{faulty[text]}', CAST(0 AS bigint)"
-        # As a double the share compares as PostgreSQL and Spark compare it.
-        body = text.rstrip(";").replace("fg3_pct > 0.40", "fg3_pct::double > 0.40::double")
-        return f"SELECT CAST({i} AS bigint), true, '', (SELECT count(*) FROM ({body}) q)"
+        return f"SELECT CAST({i} AS bigint), true, '', (SELECT count(*) FROM ({_duck(text)}) q)"
 
     lines = "\nUNION ALL ".join(line(i, x) for i, x in enumerate(_statement_texts()))
     return (
@@ -534,7 +538,44 @@ def run_sql_safe(v: Views) -> DataFrame:
     )
 
 
-@query()
+def _predictions_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def correct(kind: str, gold: str, pred: str) -> str:
+        if kind == "extra_column":  # equal only if both are empty
+            return f"CAST((SELECT count(*) FROM ({gold}) g) = 0 AS int)"
+        if kind == "null_as_blank":
+            gold = f"SELECT college, coalesce(draft_round, '') FROM ({gold}) g"
+        sides = [f"(SELECT * FROM ({gold}) g)", f"(SELECT * FROM ({pred}) p)"]
+        both_ways = f"({' EXCEPT ALL '.join(sides)}) UNION ALL ({' EXCEPT ALL '.join(sides[::-1])})"
+        return f"CAST((SELECT count(*) FROM ({both_ways}) d) = 0 AS int)"
+
+    lines, texts = [], []
+    for name, kind, gold, pred in predictions():
+        texts.append(f"({', '.join(map(quoted, (name, kind, gold, pred)))})")
+        label = "NULL"
+        if name == "broken_gold":
+            figures = "false AS gold_ok, 0 AS correct"
+        elif kind in _CONDITIONS:
+            figures = "true AS gold_ok, 0 AS correct"
+            label = quoted(CONDITION_CLASSES[_CONDITIONS[kind].split(".")[0]])
+        else:
+            figures = f"true AS gold_ok, {correct(kind, _duck(gold), _duck(pred))} AS correct"
+        lines.append(
+            f"SELECT '{name}' AS gold_name, '{kind}' AS kind, {figures}, {label} AS error_class"
+        )
+    pairs = f"SELECT * FROM (VALUES {', '.join(texts)}) AS t(gold_name, kind, gold_sql, pred_sql)"
+    measured = distances_text("pairs", "gold_name, kind", "gold_sql", "pred_sql")
+    verdicts = "\nUNION ALL ".join(lines)
+    return (
+        with_views(*_STORED, pairs=pairs, **measured, verdicts=verdicts)
+        + f"""SELECT gold_name, kind, gold_ok, correct, error_class, dist, {SIMILARITY} AS sim
+FROM verdicts JOIN dists USING (gold_name, kind)"""
+    )
+
+
+@query(_predictions_sql())
 def evaluate_statements(v: Views) -> DataFrame:
     """Predictions of every kind scored against their gold statements on the warehouse."""
     examples = v.spark.createDataFrame(

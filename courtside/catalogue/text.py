@@ -34,17 +34,24 @@ def tokens_text(sql: str) -> str:
     return f"regexp_extract_all(lower({trimmed}), '{pattern}')"
 
 
+def distances_text(source: str, key: str, gold: str, pred: str) -> dict[str, str]:
+    """Views ``toks`` and ``dists``: token distances of a table's gold and predicted SQL.
+
+    DuckDB's levenshtein counts bytes, so tokens become single-byte characters.
+    """
+    coded = "list_transform({}, lambda t: chr((list_position(voc, t) + 32)::int))"
+    text = "coalesce(list_aggregate(" + coded + ", 'string_agg', ''), '')"
+    return {
+        "toks": f"""SELECT {key}, g, p, list_distinct(list_concat(g, p)) AS voc
+FROM (SELECT {key}, {tokens_text(gold)} AS g, {tokens_text(pred)} AS p FROM {source}) x""",
+        "dists": f"""SELECT {key}, len(g) AS ng, len(p) AS np,
+  CAST(levenshtein({text.format("g")}, {text.format("p")}) AS int) AS dist FROM toks""",
+    }
+
+
+SIMILARITY = "round(1.0::double - dist::double / greatest(ng, np, 1), 4)"
 _TOKENS = with_views(
-    "sql_pairs",
-    toks=f"""SELECT example_id, g, p, list_distinct(list_concat(g, p)) AS voc
-FROM (SELECT example_id, {tokens_text("gold_sql")} AS g,
-  {tokens_text(clean_sql_text("reply"))} AS p FROM sql_pairs) x""",
-    dists="""SELECT example_id, len(g) AS ng, len(p) AS np, levenshtein(
-  list_aggregate(list_transform(g, lambda t: chr((list_position(voc, t) + 32)::int)),
-    'string_agg', ''),
-  list_aggregate(list_transform(p, lambda t: chr((list_position(voc, t) + 32)::int)),
-    'string_agg', '')) AS dist
-FROM toks""",
+    "sql_pairs", **distances_text("sql_pairs", "example_id", "gold_sql", clean_sql_text("reply"))
 )
 
 
@@ -77,16 +84,12 @@ def _tokenised(v: Views) -> DataFrame:
     )
 
 
-@query(_TOKENS + "SELECT example_id, CAST(dist AS int) AS dist FROM dists")
+@query(_TOKENS + "SELECT example_id, dist FROM dists")
 def token_edit_distance(v: Views) -> DataFrame:
     return _tokenised(v).select("example_id", sqltext.token_distance("g", "p").alias("dist"))
 
 
-@query(
-    _TOKENS
-    + """SELECT example_id, round(1.0::double - dist::double / greatest(ng, np, 1), 4) AS sim
-FROM dists"""
-)
+@query(_TOKENS + f"SELECT example_id, {SIMILARITY} AS sim FROM dists")
 def edit_similarity(v: Views) -> DataFrame:
     similarity = sqltext.token_similarity("g", "p")
     return _tokenised(v).select("example_id", number(similarity, "sim"))
