@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.catalogue import number, query
+from courtside.catalogue.evaluation import OUTCOMES, SUMMARY_LINES_SQL, outcomes
+from courtside.catalogue.text import difficulty_text, type_text, words_text
 from courtside.fixtures import ARRIVAL, PGTT, Views, with_views
+from courtside.operators.aggregates import season_ranks
 from courtside.operators.corpus import label_corpus
 from courtside.operators.report import summary_lines
-from courtside.catalogue.evaluation import OUTCOMES, SUMMARY_LINES_SQL, outcomes
-from courtside.catalogue.text import difficulty_text, type_text, words_text
 from courtside.plans.warehouse import load_all
 from courtside.schemas import TABLES, catalog_df, catalog_rows
 from courtside.session import scratch_path
@@ -88,7 +89,8 @@ def schema_catalog(v: Views) -> DataFrame:
 # -- CSV --------------------------------------------------------------------------
 @query(
     with_views("game")
-    + "SELECT game_id, team_id_home_id, team_id_away_id, season_id, CAST(date AS varchar) AS date, '' AS reasons FROM game"
+    + """SELECT game_id, team_id_home_id, team_id_away_id, season_id,
+  CAST(date AS varchar) AS date, '' AS reasons FROM game"""
 )
 def csv_scan(v: Views) -> DataFrame:
     """Games through a CSV file with upper-case headers; leading zeros survive."""
@@ -335,8 +337,6 @@ def norm_player_season(v: Views) -> DataFrame:
 FROM {PGTT} WHERE season_id = 21998"""
 )
 def norm_season_totals(v: Views) -> DataFrame:
-    from courtside.operators.aggregates import season_ranks
-
     season = v[PGTT].filter(F.col("season_id") == _SEASON)
     ranked = season.join(season_ranks(season, ["pts"]), ["player_id", "season_id"])
     columns = ["player_id", "team_id", "gp", "w", "l", "pts", "fg3m", "pts_rank"]

@@ -18,6 +18,7 @@ ARRIVAL = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"]
 FACTS = {"lineitem", "orders", "events", "conversations"}
 LOG_STATS = "pts reb ast tov blk stl pf fgm fga fg3m fg3a".split()
 PGTT = "player_general_traditional_total"
+STORED = ["team", "player", "game", "player_game_log", PGTT, "player_season"]
 
 
 def padded(key: str) -> Column:
@@ -40,6 +41,18 @@ class Views(dict):
         self[name] = view
         return view
 
+    def stored(self, root: str) -> Views:
+        """The warehouse tables written under ``root``, each built from those before."""
+        tables = Views(self.spark, self.folder)
+        for name in STORED:
+            view = tables[name]
+            keys = ["season_id"] if "season_id" in view.columns else []
+            writer = view.hint("rebalance", *keys).write
+            path = f"{root}/{name}"
+            (writer.partitionBy(*keys) if keys else writer).parquet(path)
+            tables[name] = self.spark.read.schema(view.schema).parquet(path)
+        return tables
+
     def _event_message_type(self) -> DataFrame:
         return event_message_types(self.spark)
 

@@ -96,13 +96,17 @@ def with_positions(sorted_df: DataFrame, name: str = "pos") -> DataFrame:
 
 
 def result_preview(
-    long_df: DataFrame, headers: DataFrame, max_rows: int = 50
+    long_df: DataFrame,
+    headers: DataFrame,
+    max_rows: int = 50,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """A short text of each example's result.
 
     ``long_df`` holds ``(example_id, pos, row)``, ``headers`` one ``(example_id,
     header array<string>)`` row per example. At most ``max_rows`` rows per example are
-    gathered; the others are counted by an aggregate.
+    gathered; the others are counted by an aggregate, or given as ``counts`` of
+    ``(example_id, _n)`` where ``long_df`` holds only the first rows.
     """
     first = Window.partitionBy("example_id").orderBy("pos")
     shown = (
@@ -111,7 +115,8 @@ def result_preview(
         .groupBy("example_id")
         .agg(F.sort_array(F.collect_list(F.struct("_rn", "row"))).alias("_rows"))
     )
-    counts = long_df.groupBy("example_id").agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = long_df.groupBy("example_id").agg(F.count("*").alias("_n"))
 
     def line(values: Column) -> Column:
         return F.array_join(values, " | ", "")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.operators.results import row_array
+from courtside.operators.results import exact_row, row_array
 from courtside.session import scratch_path
 
+ROWS_SCHEMA = "statement_id bigint, pos bigint, row array<string>"
 OUTCOME_SCHEMA = (
     "statement_id bigint, ok boolean, condition string, message string, "
     "unknown_qualifier boolean, columns array<string>"
@@ -29,6 +31,16 @@ class Outcome:
     message: str
 
 
+@dataclass(frozen=True)
+class Waiting:
+    """An analysed statement that has yet to run."""
+
+    statement_id: int
+    sql: str
+    columns: list[str]
+    rows: DataFrame
+
+
 def _failure(error: Exception) -> tuple[str, str]:
     if isinstance(error, PySparkException):
         return error.getCondition() or "", str(error).split("\n\nJVM stacktrace")[0]
@@ -62,62 +74,93 @@ def unknown_qualifier(sql: str, condition: str, message: str) -> bool:
     return re.search(named, sql) is None
 
 
-def _result_rows(statement_id: int, df: DataFrame) -> DataFrame:
-    # Duplicate column names are legal in a result; positions are not ambiguous.
-    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return renamed.select(
-        F.lit(statement_id).cast("bigint").alias("statement_id"), row_array(renamed).alias("row")
+def _numbered_columns(df: DataFrame) -> DataFrame:
+    """Duplicate column names are legal in a result; numbered ones are not ambiguous."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def _shaped(statement_id: int, df: DataFrame, pos: Column, row: Column) -> DataFrame:
+    return df.select(
+        F.lit(statement_id).cast("bigint").alias("statement_id"),
+        pos.cast("bigint").alias("pos"),
+        row.alias("row"),
     )
 
 
+def _result_rows(statement_id: int, df: DataFrame) -> DataFrame:
+    renamed = _numbered_columns(df)
+    return _shaped(statement_id, renamed, F.lit(None), row_array(renamed))
+
+
+def first_rows(max_rows: int) -> Callable[[int, DataFrame], DataFrame]:
+    """A shape for previews: the first rows in order, and the number of all rows.
+
+    The number is the one row without a position.
+    """
+
+    def shape(statement_id: int, df: DataFrame) -> DataFrame:
+        # A limit leaves one partition in result order, so row ids number it.
+        top = _numbered_columns(df.limit(max_rows))
+        shown = _shaped(statement_id, top, F.monotonically_increasing_id(), exact_row(top))
+        total = df.agg(F.count("*").cast("string").alias("n"))
+        return shown.unionByName(
+            _shaped(statement_id, total, F.lit(None), F.array("n").cast("array<string>"))
+        )
+
+    return shape
+
+
 def run_statements(
-    spark: SparkSession, statements: Iterable[tuple[int, str]], chunk: int = 20
+    spark: SparkSession,
+    statements: Iterable[tuple[int, str]],
+    chunk: int = 20,
+    shape: Callable[[int, DataFrame], DataFrame] = _result_rows,
 ) -> tuple[DataFrame, DataFrame]:
     """Run many queries: ``(rows, outcomes)``.
 
-    ``rows`` is ``(statement_id, row)`` in comparable text form, written by Spark to the
-    shared folder, a chunk of statements per job so that plans stay small. A chunk that
+    ``rows`` is ``(statement_id, pos, row)``, by default all rows in comparable text form
+    without positions. ``shape`` makes them from a statement's result. They are written by
+    Spark to the shared folder, a chunk of statements per job so that plans stay small. A chunk that
     fails while running is halved until the failing statements stand alone.
     """
     path = scratch_path(spark, "statement-rows")
-    spark.createDataFrame([], "statement_id bigint, row array<string>").write.parquet(path)
+    spark.createDataFrame([], ROWS_SCHEMA).write.parquet(path)
     outcomes: list[tuple] = []
 
     def fail(statement_id: int, sql: str, condition: str, message: str) -> None:
         bad_name = unknown_qualifier(sql, condition, message)
         outcomes.append((statement_id, False, condition, message, bad_name, []))
 
-    def store(batch: list[tuple[int, str, DataFrame]]) -> None:
-        rows = _result_rows(batch[0][0], batch[0][2])
-        for statement_id, _, df in batch[1:]:
-            rows = rows.unionByName(_result_rows(statement_id, df))
+    def store(batch: list[Waiting]) -> None:
+        rows = reduce(DataFrame.unionByName, [w.rows for w in batch])
         rows.write.mode("append").parquet(path)
-        outcomes.extend((i, True, "", "", False, df.columns) for i, _, df in batch)
+        outcomes.extend((w.statement_id, True, "", "", False, w.columns) for w in batch)
 
-    def flush(batch: list[tuple[int, str, DataFrame]]) -> None:
+    def flush(batch: list[Waiting]) -> None:
         try:
             store(batch)
         except Exception as error:  # noqa: BLE001 - a run-time error of some statement
             if len(batch) == 1:
-                fail(batch[0][0], batch[0][1], *_failure(error))
+                fail(batch[0].statement_id, batch[0].sql, *_failure(error))
                 return
             half = len(batch) // 2
             flush(batch[:half])
             flush(batch[half:])
 
-    waiting: list[tuple[int, str, DataFrame]] = []
+    waiting: list[Waiting] = []
     for statement_id, sql in statements:
         outcome = run_sql(spark, sql)
         if not outcome.ok:
             fail(statement_id, sql, outcome.condition, outcome.message)
             continue
-        waiting.append((statement_id, sql, outcome.df))
+        rows = shape(statement_id, outcome.df)
+        waiting.append(Waiting(statement_id, sql, outcome.df.columns, rows))
         if len(waiting) == chunk:
             flush(waiting)
             waiting = []
     if waiting:
         flush(waiting)
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(ROWS_SCHEMA).parquet(path)
     return rows, spark.createDataFrame(outcomes, OUTCOME_SCHEMA)
 
 
