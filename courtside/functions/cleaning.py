@@ -97,6 +97,13 @@ def na_to_null(value: Column | str, tokens: Iterable[str] = DEFAULT_NA) -> Colum
     return F.when(~column.isin(list(tokens)), column)
 
 
+def real_overflows(value: Column | str) -> Column:
+    """Whether a number fits a double but not a 4-byte float, which would be infinite."""
+    column, infinite = _col(value), F.lit(float("inf"))
+    narrow, wide = F.abs(column.try_cast("float")), F.abs(column.try_cast("double"))
+    return (narrow == infinite) & (wide < infinite)
+
+
 def truncated_int(value: Column | str) -> Column:
     """Number text to integer, dropping the fraction; NULL if it is no number."""
     return _col(value).try_cast("double").try_cast("int")

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtside.functions.cleaning import blank_to_null, na_to_null, truncated_int
+from courtside.functions.cleaning import (
+    blank_to_null,
+    na_to_null,
+    real_overflows,
+    truncated_int,
+)
 from courtside.operators.integrity import REASONS
 from courtside.schemas import INT_COLUMNS, TableSpec
 
@@ -44,6 +49,8 @@ def _clean_column(name: str, target: T.DataType) -> tuple[Column, Column | None]
         value = truncated_int(present).cast(target)
     else:
         value = present.try_cast(target)
+    if isinstance(target, T.FloatType):
+        value = F.when(~real_overflows(present), value)
     unreadable = present.isNotNull() & value.isNull()
     return value, F.when(unreadable, f"{name}: not a valid {target.simpleString()}")
 

@@ -107,3 +107,12 @@ def test_domain_violations(spark, wl, team, want):
     df = spark.createDataFrame([(wl, team)], "wl string, team_id string")
     rows = domain_violations(df, TABLES["player_game_log"]).collect()
     assert [r._reasons for r in rows] == ([want] if want else [])
+
+
+def test_clean_row_refuses_numbers_a_real_cannot_hold(spark):
+    texts = ["1e39", "inf", "-1e39", "30.5", None, "x"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "pts string, _arrival int")
+    rows = clean_row(df, TABLES["player_game_log"]).orderBy("_arrival").collect()
+    assert [r.pts for r in rows] == [None, math.inf, None, 30.5, None, None]
+    bad = ["pts: not a valid float"]
+    assert [r._reasons for r in rows] == [bad, [], bad, [], [], bad]
