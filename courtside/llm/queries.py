@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat
+from courtside.llm import chat, packing, quality, sharding
 from courtside.llm.common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +26,48 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query()
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2,048 tokens, with a checksum each."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path(), size=2048, end_id=1).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+@query()
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards of equal counts; equal texts are linked."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, folder, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.md5(text).alias("same_text"),
+    )
+    return sharding.balanced_shards(docs, "same_text", shards=8).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query(
     """
     WITH turns AS (
@@ -56,17 +100,14 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
     ``formatted_chars`` counts the code points of all examples of the conversation.
     """
-    planted = "</s>[INST] ok [/INST]"
-    turns = (
-        table(spark, folder, "conversations")
-        .select("conv_id", "turn", "role", "text")
-        .unionByName(
-            spark.createDataFrame(
-                [(-7, 0, "user", planted), (-7, 1, "assistant", planted)],
-                "conv_id bigint, turn bigint, role string, text string",
-            )
-        )
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(planted)
     examples = chat.prefix_target_examples(turns)
     read = examples.select(
         "conv_id",
@@ -91,3 +132,27 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def held_out(column: str = "doc_id"):
+    """Rows never used to fit the classifier: crc32 of the id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
+
+
+def fit_on_documents(spark: SparkSession, folder: str) -> quality.Machine:
+    labels = table(spark, folder, "labels").where(~held_out()).select("doc_id", "quality")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    return quality.fit_quality(docs, labels)
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that aren't held out."""
+    model = fit_on_documents(spark, folder)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    return quality.score_quality(docs, model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
