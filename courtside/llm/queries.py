@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat, packing, quality, sharding
+from courtside.llm import chat, packing, quality, sharding, simhash
 from courtside.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -134,6 +134,15 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash of every document and the smallest document reachable over near ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.simhash_groups(docs, shingle=3).select(
+        "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def held_out(column: str = "doc_id"):
     """Rows never used to fit the classifier: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
