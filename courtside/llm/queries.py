@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat, packing, quality, sharding, simhash
+from courtside.llm import chat, decontaminate, lines, packing, quality, sharding, simhash
 from courtside.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -165,3 +165,20 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its lines, those removed as later matches, and a digest of the rest."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, similarity=0.8).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+@query()
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item within one edit per ten bytes, and where."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    benchmark = table(spark, folder, "benchmark").select("item_id", "text")
+    return decontaminate.contaminations(docs, benchmark, edit_rate=0.1)
