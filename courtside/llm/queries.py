@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat, decontaminate, lines, packing, quality, sharding, simhash
+from courtside.llm import chat, decontaminate, lines, packing, quality, sharding, simhash, suffix
 from courtside.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -182,3 +182,21 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     benchmark = table(spark, folder, "benchmark").select("item_id", "text")
     return decontaminate.contaminations(docs, benchmark, edit_rate=0.1)
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: bytes in strings of 400 bytes that start elsewhere too, and the rest."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    removed = F.aggregate(
+        F.zip_with("begins", "ends", lambda a, b: b - a),
+        F.lit(0).cast("long"),
+        lambda total, n: total + n,
+    )
+    return suffix.drop_repeats(docs, length=400).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("begins").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
