@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat, decontaminate, lines, packing, quality, sharding, simhash, suffix
+from courtside.llm import chat, decontaminate, lines, nearest, packing, quality, sharding, simhash, suffix
 from courtside.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -200,3 +200,10 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("begins").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all others, by inner product."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), keep=20)
