@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat, decontaminate, lines, nearest, packing, quality, sharding, simhash, suffix
+from courtside.llm import chat, decontaminate, lines, nearest, packing, quality, sharding, simhash, suffix, urls
 from courtside.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -207,3 +207,95 @@ def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of every twentieth embedding among all others, by inner product."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), keep=20)
+
+
+def _days(pattern, begin: int, many: int):
+    """A number of days below ``many`` from three hex digits of a pattern's md5."""
+    return F.conv(F.substring(F.md5(pattern), begin, 3), 16, 10).cast("int") % many
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A block list with a history, drawn from the pages' own hosts and sections.
+
+    Every host is blocked, cleared and blocked again, every parent domain blocked for a
+    while, and every section of a host allowed or blocked from some day on.
+    """
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    start = F.lit("2024-01-01").cast("date")
+    hosts = pages.select(host.alias("pattern")).where("pattern IS NOT NULL").distinct()
+    parents = hosts.select(F.regexp_replace("pattern", r"^[^.]*\.", "").alias("pattern")).distinct()
+    section = F.regexp_extract(path, "^(/[^/]+/)", 1)
+    sections = pages.where(section != "").select(F.concat(host, section).alias("pattern")).distinct()
+    day = F.col("pattern")
+
+    def listed(df: DataFrame, days, action) -> DataFrame:
+        at = F.date_add(start, days).cast("timestamp")
+        return df.select("pattern", at.alias("listed_at"), action.alias("action"))
+
+    first, second = _days(day, 1, 300), _days(day, 4, 90)
+    cleared = first + 1 + second
+    kind = F.when(_days(day, 7, 2) == 0, "allow").otherwise("block")
+    return (
+        listed(hosts, first, F.lit("block"))
+        .unionByName(listed(hosts, cleared, F.lit("remove")))
+        .unionByName(listed(hosts, cleared + 30, F.lit("block")))
+        .unionByName(listed(parents, second, F.lit("block")))
+        .unionByName(listed(parents, cleared, F.lit("allow")))
+        .unionByName(listed(sections, first, kind))
+    )
+
+
+@query(
+    r"""
+    WITH p AS (
+        SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+            regexp_extract(url, '^[a-z]+://[^/?#]*(/[^/?#]+/)', 1) AS section,
+            TIMESTAMP '2024-01-01' + to_seconds((page_id * 104729) % 31536000) AS fetched
+        FROM pages
+    ), hosts AS (SELECT DISTINCT host AS pattern FROM p WHERE host <> ''),
+    parents AS (SELECT DISTINCT regexp_replace(pattern, '^[^.]*\.', '') AS pattern FROM hosts),
+    sections AS (SELECT DISTINCT host || section AS pattern FROM p WHERE section <> ''),
+    days AS (
+        SELECT kind, pattern,
+            ('0x' || substr(md5(pattern), 1, 3))::INT % 300 AS a,
+            ('0x' || substr(md5(pattern), 4, 3))::INT % 90 AS b,
+            ('0x' || substr(md5(pattern), 7, 3))::INT % 2 AS c
+        FROM (SELECT 'h' AS kind, * FROM hosts UNION ALL SELECT 'd', * FROM parents
+            UNION ALL SELECT 's', * FROM sections)
+    ), entries AS (
+        SELECT pattern, a AS day, 'block' AS action FROM days WHERE kind = 'h'
+        UNION ALL SELECT pattern, a + 1 + b, 'remove' FROM days WHERE kind = 'h'
+        UNION ALL SELECT pattern, a + 31 + b, 'block' FROM days WHERE kind = 'h'
+        UNION ALL SELECT pattern, b, 'block' FROM days WHERE kind = 'd'
+        UNION ALL SELECT pattern, a + 1 + b, 'allow' FROM days WHERE kind = 'd'
+        UNION ALL SELECT pattern, a, CASE WHEN c = 0 THEN 'allow' ELSE 'block' END
+            FROM days WHERE kind = 's'
+    ), spans AS (
+        SELECT pattern, action, TIMESTAMP '2024-01-01' + to_days(day) AS since,
+            TIMESTAMP '2024-01-01' + to_days(lead(day) OVER (PARTITION BY pattern ORDER BY day)) AS until
+        FROM (SELECT pattern, day, max(action) AS action FROM entries GROUP BY ALL)
+    ), wanted AS (
+        SELECT page_id, fetched, host AS pattern, 3 AS rank FROM p WHERE host <> ''
+        UNION ALL SELECT page_id, fetched, regexp_replace(host, '^[^.]*\.', ''), 2 FROM p
+        UNION ALL SELECT page_id, fetched, regexp_replace(host, '^[^.]*\.[^.]*\.', ''), 1 FROM p
+        UNION ALL SELECT page_id, fetched, host || section, 4 FROM p WHERE section <> ''
+    ), found AS (
+        SELECT w.page_id, s.pattern, s.action, s.since,
+            row_number() OVER (PARTITION BY w.page_id ORDER BY w.rank DESC) AS n
+        FROM wanted w JOIN spans s ON w.pattern = s.pattern AND w.fetched >= s.since
+            AND (s.until IS NULL OR w.fetched < s.until) AND s.action <> 'remove'
+    )
+    SELECT p.page_id, f.pattern, f.action, strftime(f.since, '%Y-%m-%d') AS since,
+        coalesce(f.action = 'block', false) AS blocked
+    FROM p LEFT JOIN found f ON p.page_id = f.page_id AND f.n = 1
+    """
+)
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page judged by the entries of a dated list that were active at its time."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    seconds = (F.col("page_id") * 104729) % 31_536_000
+    start = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(start + seconds))
+    return urls.judge_captures(captures, dated_list(pages)).select(
+        "page_id", "pattern", "action", F.date_format("since", "yyyy-MM-dd").alias("since"), "blocked"
+    )
