@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import stored
-
 Q = 8
 _TABLE_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -173,6 +172,28 @@ def banded_alignment(
     return int(cost[at]), int(origin[at]), int(min(len(b), start + len(a) + at))
 
 
+def _indexes(
+    benchmark: DataFrame,
+    edit_rate: float,
+    min_chars: int,
+    block_bytes: int,
+    item_column: str,
+    item_text_column: str,
+) -> Iterator[Broadcast]:
+    """The items' q-grams, broadcast in blocks of about ``block_bytes`` of text."""
+    spark = benchmark.sparkSession
+    listed = benchmark.select(
+        F.col(item_column).cast("long").alias("_item"),
+        F.col(item_text_column).cast("string").alias("_text"),
+    ).where("_item IS NOT NULL AND _text IS NOT NULL")
+    total = listed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = 1 + total // block_bytes
+    for block in range(blocks):
+        part = listed.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
+        rows = [(r["_item"], r["_text"]) for r in part.orderBy("_item", "_text").collect()]
+        yield spark.sparkContext.broadcast(Index.of(rows, edit_rate, min_chars))
+
+
 def contaminations(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -196,26 +217,17 @@ def contaminations(
     short to be evidence and are left out.
 
     Items are broadcast in blocks of about ``block_bytes`` of text, each searched in a pass
-    of its own, so what is broadcast never grows with the tables. Null texts and ids never
-    match; repeated rows give repeated results, equal items one result each; an empty
+    of its own, so what is broadcast never grows with the tables. Null texts never match, nor do
+    null items; rows with a null id are searched like others. Repeated rows give repeated results, equal items one result each; an empty
     table gives no rows. Other columns are left out.
     """
-    spark = docs.sparkSession
-    listed = benchmark.select(
-        F.col(item_column).cast("long").alias("_item"),
-        F.col(item_text_column).cast("string").alias("_text"),
-    ).where("_item IS NOT NULL AND _text IS NOT NULL")
-    total = listed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
+    # Ids are text on the Python side, which would read a column with nulls as fractions.
     narrow = docs.select(
-        F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text")
-    ).where("_id IS NOT NULL AND _text IS NOT NULL")
-    schema = "_id bigint, _item bigint, distance int, begin bigint, end bigint, shared int"
+        F.col(id_column).cast("string").alias("_id"), F.col(text_column).cast("string").alias("_text")
+    ).where("_text IS NOT NULL")
+    schema = "_id string, _item bigint, distance int, begin bigint, end bigint, shared int"
     results = []
-    for block in range(blocks):
-        part = listed.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
-        rows = [(r["_item"], r["_text"]) for r in part.orderBy("_item", "_text").collect()]
-        shared = spark.sparkContext.broadcast(Index.of(rows, edit_rate, min_chars))
+    for shared in _indexes(benchmark, edit_rate, min_chars, block_bytes, item_column, item_text_column):
 
         def search(batches: Iterator[pd.DataFrame], held=shared) -> Iterator[pd.DataFrame]:
             index = held.value
@@ -234,7 +246,7 @@ def contaminations(
     for more in results[1:]:
         found = found.unionByName(more)
     return found.select(
-        F.col("_id").alias(id_column),
+        F.col("_id").cast("long").alias(id_column),
         F.col("_item").alias(item_column),
         "distance",
         "begin",
@@ -243,8 +255,29 @@ def contaminations(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose id :func:`contaminations` finds; all columns kept."""
-    key = options.get("id_column", "doc_id")
-    found = stored(contaminations(docs, benchmark, **options).select(key).distinct(), "contaminated")
-    return docs.join(found, key, "left_anti")
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    edit_rate: float = 0.1,
+    min_chars: int = 40,
+    block_bytes: int = 16 << 20,
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text_column: str = "text",
+) -> DataFrame:
+    """``docs`` without the rows whose text holds an item, see :func:`contaminations`.
+
+    All columns are kept; null texts stay. No shuffle: each text is judged where it is.
+    """
+    kept = docs
+    for shared in _indexes(benchmark, edit_rate, min_chars, block_bytes, item_column, item_text_column):
+
+        @F.pandas_udf("boolean")
+        def clean(batches: Iterator[pd.Series], held=shared) -> Iterator[pd.Series]:
+            index = held.value
+            for texts in batches:
+                found = [next(index.matches(t), None) is None for t in texts]
+                yield pd.Series(found, dtype=bool)
+
+        kept = kept.where(clean(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
+    return kept

@@ -14,7 +14,7 @@ from courtside.llm.common import stored
 from courtside.llm.tokens import Encoder
 
 OUTPUT = (
-    "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
+    "doc_id string, start bigint, length bigint, ids binary, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, leftover boolean"
 )
 # A partition's own sequences are numbered below this; the partition number stands above.
@@ -86,8 +86,7 @@ class Windows:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [part.split()[0] for part in OUTPUT.split(", ")]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=names)
 
 
 def _rows(pieces: list[tuple], sequence: int, leftover: bool) -> Iterator[tuple]:
@@ -133,7 +132,7 @@ def pack(
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = encoder.encode(text or "", end_id)
-                for pieces in windows.add(None if pd.isna(doc) else int(doc), ids):
+                for pieces in windows.add(doc, ids):
                     rows.extend(_rows(pieces, sequence, False))
                     sequence += 1
                 if len(rows) >= 4096:
@@ -155,9 +154,8 @@ def pack(
         frame = frame.sort_values(["sequence_id", "offset"])
         sequence = int(frame["sequence_id"].iloc[0])
         for row in frame.itertuples():
-            doc = None if pd.isna(row.doc_id) else int(row.doc_id)
             ids = np.frombuffer(row.ids, "<u4")
-            windows.open.append([(doc, row.start, ids, row.doc_tokens)])
+            windows.open.append([(row.doc_id, row.start, ids, row.doc_tokens)])
         whole, rest = windows.merge()
         rows: list[tuple] = []
         for pieces in [*whole, rest]:
@@ -165,8 +163,9 @@ def pack(
             sequence += 1
         return _frame(rows)
 
+    # Ids are text on the Python side, which would read a column with nulls as fractions.
     narrow = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")
+        F.col(id_column).cast("string").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
     packed = stored(narrow.mapInPandas(pack_partition, OUTPUT), "packed")
     partition = F.col("sequence_id") / F.lit(float(_PER_PARTITION))
@@ -176,4 +175,5 @@ def pack(
         .groupBy(group.alias("_group"))
         .applyInPandas(merge_group, OUTPUT)
     )
-    return packed.where("NOT leftover").unionByName(merged).drop("leftover")
+    pieces = packed.where("NOT leftover").unionByName(merged).drop("leftover")
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -96,17 +96,16 @@ def balanced_shards(docs: DataFrame, link: str, shards: int = 8, rounds: int = 8
     quota, whole links first; the rest and all rows without partners fill what is free.
 
     Rows whose ``link`` is null have no partners; repeated rows count one by one. An empty
-    table gives no rows. Columns named ``shard`` or ``slot`` are replaced, names that begin
-    with an underscore are reserved.
+    table gives no rows. Columns named ``shard`` or ``slot`` are replaced.
 
     Everything that comes to the driver has ``shards`` rows. Votes are combined before each
     shuffle; the rows of a common link are dealt over several tasks (:func:`salted_join`).
     """
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*columns, F.col(link).alias("_link"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_whole")
+    rows = docs.select(whole, F.col(f"`{link}`").alias("_link"))
     partners = rows.where("_link IS NOT NULL").groupBy("_link").agg(F.count("*").alias("_n"))
-    tie = F.xxhash64(*[F.col(c) for c in columns])
-    tied = rows.withColumn("_tie", tie)
+    tied = rows.withColumn("_tie", F.xxhash64("_whole"))
     marked = stored(
         salted_join(tied, partners.where("_n > 1"), ["_link"], ["_tie"], "left"), "shard-rows"
     )
@@ -138,9 +137,9 @@ def balanced_shards(docs: DataFrame, link: str, shards: int = 8, rounds: int = 8
     stays = F.col("slot") < _lookup(exact, F.col("shard"))
     pool = (
         marked.where("_n IS NULL")
-        .select(*columns, "_tie", F.lit(None).cast("string").alias("_near"))
+        .select("_whole", "_tie", F.lit(None).cast("string").alias("_near"))
         .unionByName(
-            placed.where(~stays).select(*columns, "_tie", F.col("_link").cast("string").alias("_near"))
+            placed.where(~stays).select("_whole", "_tie", F.col("_link").cast("string").alias("_near"))
         )
         .withColumn("_cell", F.pmod(F.xxhash64("_near", F.when(F.col("_near").isNull(), F.col("_tie"))), F.lit(_CELLS)).cast("int"))
         .withColumn("_part", F.when(F.col("_near").isNull(), 0).otherwise(F.pmod(F.col("_tie"), F.lit(256))).cast("int"))
@@ -158,5 +157,5 @@ def balanced_shards(docs: DataFrame, link: str, shards: int = 8, rounds: int = 8
         "slot",
         F.col("_place") - _lookup(begins, F.col("shard")) + _lookup(kept, F.col("shard")),
     )
-    result = [*columns, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")]
+    result = ["_whole.*", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")]
     return placed.where(stays).select(*result).unionByName(filled.select(*result))

@@ -423,11 +423,11 @@ def drop_repeats(
     sorted runs are merged by binary search.
     """
     narrow = docs.select(
-        F.col(id_column).cast("long").alias("_id"),
+        F.col(id_column).cast("string").alias("_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("data"),
     )
     keyed = narrow.withColumn(
-        "k", F.unhex(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit("|"), F.col("data"))))
+        "k", F.unhex(F.md5(F.concat(F.coalesce("_id", F.lit("")), F.lit("|"), F.col("data"))))
     )
     long = keyed.where(F.octet_length("data") >= length)
     ranges = repeated_ranges(long.select("k", "data"), length)
@@ -442,14 +442,14 @@ def drop_repeats(
                 edges = zip([0, *ends.tolist()], [*begins.tolist(), len(view)], strict=True)
                 kept = b"".join(view[i:j] for i, j in edges)
                 out.append((doc, kept, len(view), begins.tolist(), ends.tolist()))
-            frame = pd.DataFrame(out, columns=["_id", "kept", "n_bytes", "begins", "ends"])
-            yield frame.astype({"_id": "Int64"})
+            yield pd.DataFrame(out, columns=["_id", "kept", "n_bytes", "begins", "ends"])
 
-    schema = "_id bigint, kept binary, n_bytes bigint, begins array<bigint>, ends array<bigint>"
+    schema = "_id string, kept binary, n_bytes bigint, begins array<bigint>, ends array<bigint>"
     return (
         keyed.join(spans, "k", "left")
         .select("_id", "data", "spans")
         .mapInPandas(remove, schema)
+        .withColumn("_id", F.col("_id").cast("long"))
         .withColumnRenamed("_id", id_column)
     )
 
