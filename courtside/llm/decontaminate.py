@@ -255,6 +255,17 @@ def contaminations(
     )
 
 
+def _without_items(shared: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = shared.value
+        for texts in batches:
+            found = [next(index.matches(t), None) is None for t in texts]
+            yield pd.Series(found, dtype=bool)
+
+    return clean
+
+
 def drop_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -271,13 +282,5 @@ def drop_contaminated(
     """
     kept = docs
     for shared in _indexes(benchmark, edit_rate, min_chars, block_bytes, item_column, item_text_column):
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], held=shared) -> Iterator[pd.Series]:
-            index = held.value
-            for texts in batches:
-                found = [next(index.matches(t), None) is None for t in texts]
-                yield pd.Series(found, dtype=bool)
-
-        kept = kept.where(clean(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
+        kept = kept.where(_without_items(shared)(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
     return kept
