@@ -63,7 +63,7 @@ def _turn_sql(role: str, text: str) -> str:
     "WITH marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn "
     "FROM conversations), "
     "takes AS (SELECT *, rn = 1 AND role = 'system' AS is_system FROM marked) "
-    f"""SELECT conv_id, CAST(0 AS bigint) AS part, concat({_SYSTEM_OPENING},
+    f"""SELECT conv_id, concat({_SYSTEM_OPENING},
   coalesce(max({_TRIMMED.format("text")}) FILTER (WHERE is_system), ''), {_END},
   coalesce(string_agg({_turn_sql("role", "text")}, '' ORDER BY turn)
     FILTER (WHERE NOT is_system), ''),
@@ -88,7 +88,7 @@ def sft_example(v: Views) -> DataFrame:
 
 
 # Stand-in token ids: a turn's word lengths. The pad id, 3, also occurs as a token.
-_PAD, _LENGTH = 3, 64
+_PAD, _LENGTH = 3, 128
 _IDS_SQL = f"""SELECT conv_id, turn, n, list_concat(ids, list_transform(
     range(greatest({_LENGTH} - len(ids), 0)), lambda i: {_PAD})) AS ids
 FROM (SELECT conv_id, turn, 4 + turn AS n, list_transform(string_split(text, ' '),

@@ -104,7 +104,27 @@ def char_edit_distance(v: Views) -> DataFrame:
     return v["sql_pairs"].select("example_id", distance.alias("dist"))
 
 
-@query()
+# The whole table of distances, a row of it per token.
+_PROSE = (
+    with_views("text_pairs")
+    + f"""SELECT conv_id, turn, CAST(line[len(p) + 1] AS int) AS dist,
+  round(1.0 - line[len(p) + 1] / greatest(len(g), len(p), 1), 4) AS sim
+FROM (
+  WITH RECURSIVE steps AS (
+    SELECT conv_id, turn, {tokens_text("gold")} AS g, {tokens_text("pred")} AS p, 0 AS i,
+      range(0, len({tokens_text("pred")}) + 1) AS line FROM text_pairs
+    UNION ALL
+    SELECT conv_id, turn, g, p, i + 1, list_transform(range(1, len(p) + 2), lambda j:
+      j - 1 + list_min(list_transform(range(1, j + 1), lambda k: best[k] - k + 1)))
+    FROM (SELECT *, list_transform(range(1, len(p) + 2), lambda j: CASE WHEN j = 1 THEN i + 1
+      ELSE least(line[j] + 1, line[j - 1] + CASE WHEN g[i + 1] = p[j - 1] THEN 0 ELSE 1 END)
+      END) AS best FROM steps WHERE i < len(g))
+  ) SELECT * FROM steps WHERE i = len(g)
+)"""
+)
+
+
+@query(_PROSE)
 def prose_token_distance(v: Views) -> DataFrame:
     """Whole prose turns, beyond ASCII and beyond one-byte vocabularies."""
     pairs = v["text_pairs"].select(

@@ -83,48 +83,86 @@ def _wide_code(position: Column) -> Column:
 
 
 def _as_characters(
-    tokens: Column, vocabulary: Column, code: Callable[[Column], Column]
+    tokens: Column, shared: Column, other: int, code: Callable[[Column], Column]
 ) -> Column:
-    coded = F.transform(tokens, lambda t: code(F.array_position(vocabulary, t)))
-    return F.array_join(coded, "")
+    """``tokens`` as characters: shared ones by their place, all others as ``other``."""
+
+    def coded(token: Column) -> Column:
+        place = F.array_position(shared, token)
+        return code(F.when(place > 0, place + 2).otherwise(F.lit(other).cast("bigint")))
+
+    return F.array_join(F.transform(tokens, coded), "")
+
+
+def _row_by_row(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two arrays by the table's rows: slow, for any vocabulary."""
+    places = F.sequence(F.lit(1), F.size(b))
+
+    def next_row(row: Column, token: Column) -> Column:
+        def extend(made: Column, j: Column) -> Column:
+            differ = F.when(F.get(b, j - 1) == token, 0).otherwise(1)
+            least = F.least(
+                F.get(row, j) + 1, F.get(row, j - 1) + differ, F.element_at(made, -1) + 1
+            )
+            return F.concat(made, F.array(least))
+
+        return F.aggregate(places, F.array(F.get(row, F.lit(0)) + 1), extend)
+
+    table = F.aggregate(a, F.sequence(F.lit(0), F.size(b)), next_row)
+    return (
+        F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(table, -1)).cast("int")
+    )
+
+
+def _without_common_start(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both arrays behind the elements they begin with alike; the arrays must differ."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.slice(a, first, F.size(a)), F.slice(b, first, F.size(b))
 
 
 def token_distance(a: Column | str, b: Column | str) -> Column:
     """Levenshtein distance between two token arrays.
 
-    Each token is written as one character, numbered by its place in the pair's own
-    vocabulary, so the built-in string distance does the work in the JVM. A pair
-    with more distinct tokens than Unicode has characters raises an error.
+    What both begin and end with is cut off. Each token left is written as one character:
+    tokens both sides have by their place among these, all tokens only one side has as
+    one character of that side, since they match nothing. The built-in string distance
+    then does the work in the JVM. A pair that shares more distinct tokens than Unicode
+    has characters is measured row by row instead.
     """
 
-    def distance(q: Column) -> Column:
+    def measured(q: Column) -> Column:
         def coded(code: Callable[[Column], Column]) -> Column:
             return F.levenshtein(
-                _as_characters(q.a, q.v, code), _as_characters(q.b, q.v, code)
+                _as_characters(q.a, q.v, 1, code), _as_characters(q.b, q.v, 2, code)
             )
 
         return (
-            F.when(q.a == q.b, F.lit(0))
-            .when(F.size(q.v) < _FIRST_CODE, coded(_small_code))
-            .when(
-                F.size(q.v) > _MAX_VOCABULARY,
-                F.raise_error(F.lit("too many distinct tokens in one pair")).cast("int"),
-            )
-            .otherwise(coded(_wide_code))
+            F.when(F.size(q.v) + 3 < _FIRST_CODE, coded(_small_code))
+            .when(F.size(q.v) + 3 <= _MAX_VOCABULARY, coded(_wide_code))
+            .otherwise(_row_by_row(q.a, q.b))
         )
 
-    pair = F.struct(_col(a).alias("a"), _col(b).alias("b"))
-    return let(
-        pair,
-        lambda p: let(
-            F.struct(
-                p.a.alias("a"),
-                p.b.alias("b"),
-                F.array_distinct(F.concat(p.a, p.b)).alias("v"),
+    def pair(left: Column, right: Column) -> Column:
+        return F.struct(left.alias("a"), right.alias("b"))
+
+    def cut_end(p: Column) -> Column:
+        left, right = _without_common_start(F.reverse(p.a), F.reverse(p.b))
+        ends = F.when((F.size(p.a) == 0) | (F.size(p.b) == 0), p).otherwise(pair(left, right))
+        return let(
+            ends,
+            lambda e: let(
+                F.struct(
+                    e.a.alias("a"), e.b.alias("b"), F.array_intersect(e.a, e.b).alias("v")
+                ),
+                measured,
             ),
-            distance,
-        ),
-    )
+        )
+
+    def distance(p: Column) -> Column:
+        start = pair(*_without_common_start(p.a, p.b))
+        return F.when(p.a == p.b, F.lit(0)).otherwise(let(start, cut_end))
+
+    return let(pair(_col(a), _col(b)), distance)
 
 
 def token_similarity(a: Column | str, b: Column | str, distance: Column | None = None) -> Column:

@@ -141,49 +141,31 @@ def render_chat(
     text: str,
     add_generation_prompt: bool = False,
     today: str = TODAY,
-    turns_per_part: int = 1024,
 ) -> DataFrame:
-    """Conversations as model transcripts: ``(conv, part, transcript)``.
+    """Conversations as model transcripts: ``(conv, transcript)``, one row each.
 
     A system block opens every transcript; it holds the first message if that is a
-    system one. ``turn`` numbers are unique within a conversation. Texts come in parts
-    of ``turns_per_part`` turn numbers, to be joined in part order: a conversation
-    that is shorter has one part, and one of any length is never gathered in a task.
+    system one. ``turn`` numbers are unique within a conversation. A transcript is one
+    value, so a conversation's rendered turns meet in one task, after the one shuffle.
     """
-    part = F.floor(F.col(turn) / turns_per_part).alias("part")
-    ends = df.groupBy(F.col(conv).alias("_conv")).agg(
-        F.min(turn).alias("_first_turn"),
-        F.max(turn).alias("_last_turn"),
-        F.min(F.when(F.col(role) == "system", F.col(turn))).alias("_system_turn"),
+    rendered = df.select(
+        conv,
+        F.col(turn).alias("_t"),
+        F.col(role).alias("_role"),
+        F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
-    parts = df.groupBy(conv, part).agg(
+    gathered = rendered.groupBy(conv).agg(
         F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x")
-                )
-            )
-        ).alias("_turns")
-    )
-    joined = parts.join(ends, F.col(conv) == F.col("_conv"))
-    is_first = F.col("_turns")[0].t == F.col("_first_turn")
-    takes_system = is_first & F.col("_first_turn").eqNullSafe(F.col("_system_turn"))
-    opening = F.when(
-        is_first,
-        _system_block(
-            F.when(takes_system, F.col("_turns")[0].x).otherwise(F.lit("")), today
-        ),
-    ).otherwise("")
-    rest = F.when(
-        takes_system,
-        F.filter("_turns", lambda m: m.t > F.col("_first_turn")),
-    ).otherwise(F.col("_turns"))
-    body = F.array_join(
-        F.transform(rest, lambda m: _turn(m.r, F.coalesce(m.x, F.lit("")))), ""
+            F.collect_list(F.struct(F.col("_t"), _turn(F.col("_role"), F.col("_text")).alias("x")))
+        ).alias("_turns"),
+        F.min_by(F.struct("_role", "_text"), "_t").alias("_first"),
     )
-    is_last = F.element_at("_turns", -1).t == F.col("_last_turn")
-    closing = F.when(is_last & F.lit(add_generation_prompt), ASSISTANT_HEADER).otherwise("")
-    return joined.select(conv, "part", F.concat(opening, body, closing).alias("transcript"))
+    takes_system = F.col("_first._role").eqNullSafe("system")
+    opening = _system_block(F.when(takes_system, F.col("_first._text")).otherwise(""), today)
+    rest = F.slice("_turns", F.when(takes_system, 2).otherwise(1), F.size("_turns"))
+    body = F.array_join(F.transform(rest, lambda m: m.x), "")
+    closing = F.lit(ASSISTANT_HEADER if add_generation_prompt else "")
+    return gathered.select(conv, F.concat(opening, body, closing).alias("transcript"))
 
 
 def chat_prompt(

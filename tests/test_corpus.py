@@ -29,21 +29,28 @@ CONVERSATIONS = {
     2: [(3, "user", "q"), (9, "assistant", "a"), (11, "system", "late")],
     3: [(5, "system", "alone")],
     4: [(i, ("user", "assistant")[i % 2], f"t{i}") for i in range(23)],
+    5: [(i, ("user", "assistant")[i % 2], f"t{i}") for i in range(1020, 1031)],
+    6: [(i, ("user", "assistant")[i % 2], f"t{i}") for i in range(5000)],
 }
 
 
 @pytest.mark.parametrize("prompt", [True, False])
-@pytest.mark.parametrize("size", [1, 4, 1024])
-def test_render_chat(spark, prompt, size):
+def test_render_chat(spark, prompt):
     rows = [(conv, *m) for conv, messages in CONVERSATIONS.items() for m in messages]
     df = spark.createDataFrame(rows, CHAT)
     made = c.render_chat(
-        df, "conv", "turn", "role", "text", add_generation_prompt=prompt, turns_per_part=size
+        df, "conv", "turn", "role", "text", add_generation_prompt=prompt
     ).collect()
-    for conv, messages in CONVERSATIONS.items():
-        parts = sorted((r.part, r.transcript) for r in made if r.conv == conv)
-        assert "".join(text for _, text in parts) == python_chat(messages, prompt)
-        assert len(parts) == len({m[0] // size for m in messages})
+    assert sorted(r.conv for r in made) == sorted(CONVERSATIONS)
+    for r in made:
+        assert r.transcript == python_chat(CONVERSATIONS[r.conv], prompt)
+
+
+def test_render_chat_shuffles_once(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q")], CHAT)
+    plan = c.render_chat(df, "conv", "turn", "role", "text")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.count("Exchange hashpartitioning") == 1
 
 
 def test_sft_example(spark):

@@ -70,6 +70,23 @@ def test_token_distance_against_python(spark, words):
         assert r.s == pytest.approx(1 - want / max(len(r.a.split()), len(r.b.split()), 1))
 
 
+@pytest.mark.parametrize("limit", [0, 10, 400])
+def test_token_distance_beyond_the_characters(spark, monkeypatch, limit):
+    # No pair may fail: with too few characters the table is filled row by row.
+    monkeypatch.setattr(t, "_MAX_VOCABULARY", limit)
+    monkeypatch.setattr(t, "_FIRST_CODE", min(limit, 8))
+    rng = random.Random(limit)
+
+    def tokens():
+        return [f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 30))]
+
+    pairs = [(tokens(), tokens()) for _ in range(20)] + [(["a"], []), ([], ["a"]), ([], [])]
+    pairs += [(["x", *p, "y"], ["x", *q, "y"]) for p, q in pairs[:6]]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    for r in df.select("a", "b", t.token_distance("a", "b").alias("d")).collect():
+        assert r.d == python_distance(r.a, r.b)
+
+
 def test_wide_codes_are_one_character_each(spark):
     positions = [1, 2, 0xD700, 0xD701, 60_000, 1_000_000]
     df = spark.createDataFrame([(p,) for p in positions], "p int")
