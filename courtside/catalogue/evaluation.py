@@ -194,15 +194,21 @@ def eval_summary(v: Views) -> DataFrame:
 
 
 _FRACTION = "concat(' (', CAST(numerator AS bigint), '/', CAST(denominator AS bigint), ')')"
-SUMMARY_LINES_SQL = f"""SELECT CASE metric WHEN 'n' THEN concat('n: ', CAST(value AS bigint))
+_RULE = "=" * 20
+SUMMARY_LINES_SQL = f"""SELECT CAST(row_number() OVER (ORDER BY section, k, line) AS int) AS line_no,
+  line FROM (
+SELECT 1 AS section, ord AS k, CASE metric WHEN 'n' THEN concat('n: ', CAST(value AS bigint))
   WHEN 'avg_edit_distance' THEN concat(metric, ': ', value)
   WHEN 'avg_similarity' THEN concat(metric, ': ', value)
   ELSE concat(metric, ': ', value, {_FRACTION}) END AS line FROM ({_SUMMARY_SQL}) s
-UNION ALL SELECT concat(level, ': n=', n, ', accuracy=', accuracy, ', fail_rate=', fail_rate,
-  ', avg_edit_distance=', avg_edit_distance) FROM ({_LEVELS_SQL}) l WHERE position > 1
-UNION ALL SELECT concat(error_class, ': ', n) FROM ({_ERRORS_SQL}) e
-UNION ALL SELECT unnest(['====================', 'EVAL SUMMARY', '====================',
-  'difficulty_breakdown:', 'error_breakdown:'])"""
+  WHERE metric NOT LIKE 'judge%'
+UNION ALL SELECT 6, ord, concat(rpad(concat(metric, ':'), 17, ' '), value, {_FRACTION})
+  FROM ({_SUMMARY_SQL}) s WHERE metric LIKE 'judge%'
+UNION ALL SELECT 3, position, concat(level, ': n=', n, ', accuracy=', accuracy, ', fail_rate=',
+  fail_rate, ', avg_edit_distance=', avg_edit_distance) FROM ({_LEVELS_SQL}) l WHERE position > 1
+UNION ALL SELECT 5, -n, concat(error_class, ': ', n) FROM ({_ERRORS_SQL}) e
+UNION ALL SELECT * FROM (VALUES (0, 0, '{_RULE}'), (0, 1, 'EVAL SUMMARY'), (0, 2, '{_RULE}'),
+  (2, 0, 'difficulty_breakdown:'), (4, 0, 'error_breakdown:')) fixed(section, k, line)) parts"""
 
 
 _MODELS_SQL = OUTCOMES + f""", runs AS (

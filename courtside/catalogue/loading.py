@@ -352,12 +352,13 @@ def norm_season_totals(v: Views) -> DataFrame:
 @query(
     with_views("sql_pairs")
     + """SELECT CAST(example_id AS varchar) AS example_id,
-  concat(question, chr(10), 'said "x", twice') AS input, gold_sql AS output FROM sql_pairs"""
+  concat('  ', question, chr(10), 'said "x", twice ', chr(10)) AS input, gold_sql AS output
+FROM sql_pairs"""
 )
 def corpus_scan(v: Views) -> DataFrame:
-    """Questions with line breaks, quotes and commas through a CSV file."""
+    """Questions with outer blanks, line breaks, quotes and commas through a CSV file."""
     path = scratch_path(v.spark, "corpus")
-    asked = F.concat("question", F.lit('\nsaid "x", twice'))
+    asked = F.concat(F.lit("  "), "question", F.lit('\nsaid "x", twice \n'))
     corpus = v["sql_pairs"].select(
         "example_id", asked.alias("input"), F.col("gold_sql").alias("output")
     )
@@ -386,4 +387,9 @@ def corpus_sink(v: Views) -> DataFrame:
 def summary_sink(v: Views) -> DataFrame:
     """The text report, written and read back line by line."""
     path = files.write_summary(summary_lines(outcomes(v)), scratch_path(v.spark, "results"))
-    return v.spark.read.text(path).select(F.col("value").alias("line"))
+    # One small file: its lines come back in order, and row ids number them.
+    lines = v.spark.read.text(path).select(
+        (F.monotonically_increasing_id() + 1).cast("int").alias("line_no"),
+        F.col("value").alias("line"),
+    )
+    return lines

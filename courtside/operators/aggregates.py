@@ -55,10 +55,22 @@ def career_totals(totals: DataFrame) -> DataFrame:
 _RANGES_PER_OCTAVE = 64
 
 
-def _value_range(value: Column) -> Column:
-    """A range number that never decreases as the value grows."""
+# Infinite values stand outside the ranges of all finite ones, NaN above every number.
+_INFINITE, _NAN = 2**29, 2**30
+
+
+def _value_range(value: Column, descending: Column) -> Column:
+    """A range number that never decreases as the value grows.
+
+    ``value`` has its sign turned where ``descending``; NaN has none and so goes first there.
+    """
     size = F.log2(F.abs(value) + 1) * _RANGES_PER_OCTAVE
-    return F.floor(F.signum(value) * size).cast("int")
+    infinite = F.abs(value) == float("inf")
+    return (
+        F.when(F.isnan(value), F.when(descending, -_NAN).otherwise(_NAN))
+        .when(infinite, F.when(value > 0, _INFINITE).otherwise(-_INFINITE))
+        .otherwise(F.floor(F.signum(value) * size).cast("int"))
+    )
 
 
 def rank_values(
@@ -77,7 +89,7 @@ def rank_values(
     missing_first = F.when(descending, F.lit(-(2**31))).otherwise(F.lit(2**31 - 1))
     counted = values.groupBy(*groups, value).agg(F.count("*").alias("_n"))
     ranged = counted.withColumn("_sort", sort_value).withColumn(
-        "_range", F.coalesce(_value_range(F.col("_sort")), missing_first.cast("int"))
+        "_range", F.coalesce(_value_range(F.col("_sort"), descending), missing_first.cast("int"))
     )
     null_place = F.when(F.col("_sort").isNotNull(), 1).when(descending, 0).otherwise(2)
     in_range = (

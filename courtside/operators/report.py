@@ -283,22 +283,32 @@ def _number(column: str) -> Column:
     return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
 
 
-def summary_lines(df: DataFrame, parity: bool = False) -> DataFrame:
-    """The text report: summary, difficulty levels and error classes, line by line."""
+def summary_lines(
+    df: DataFrame, parity: bool = False, sql: str | None = None
+) -> DataFrame:
+    """The text report, line by line: summary, levels, error classes, then verdicts.
+
+    Without a single valid example there are no lines. ``sql`` names the SQL column that
+    error texts are classified with.
+    """
     rule = "=" * 20
     fraction = F.concat(
         F.lit(" ("), _number("numerator"), F.lit("/"), _number("denominator"), F.lit(")")
     )
     counted = ~F.col("metric").isin("n", "avg_edit_distance", "avg_similarity")
+    is_verdict = F.col("metric").startswith("judge_")
+    # Verdicts stand below each other at one width.
+    label = F.when(is_verdict, F.rpad(F.concat("metric", F.lit(":")), 17, " ")).otherwise(
+        F.concat("metric", F.lit(": "))
+    )
     summary = eval_summary(df, parity).select(
-        F.lit(1).alias("section"),
+        F.when(is_verdict, 6).otherwise(1).alias("section"),
         F.col("ord").cast("bigint").alias("k"),
         F.when(F.col("metric") == "n", F.concat(F.lit("n: "), _number("value")))
         .when(F.col("value").isNull(), F.col("metric"))
         .otherwise(
             F.concat(
-                "metric",
-                F.lit(": "),
+                label,
                 F.col("value").cast("string"),
                 F.when(counted, fraction).otherwise(""),
             )
@@ -320,7 +330,7 @@ def summary_lines(df: DataFrame, parity: bool = False) -> DataFrame:
             ).alias("line"),
         )
     )
-    errors = error_breakdown(df).select(
+    errors = error_breakdown(df, sql).select(
         F.lit(5).alias("section"),
         (-F.col("n")).alias("k"),
         F.concat("error_class", F.lit(": "), F.col("n").cast("string")).alias("line"),
@@ -338,7 +348,8 @@ def summary_lines(df: DataFrame, parity: bool = False) -> DataFrame:
     parts = reduce(DataFrame.unionByName, [fixed, summary, levels, errors])
     # A few dozen lines: numbering them in one place is bounded.
     ordered = parts.agg(F.sort_array(F.collect_list(F.struct("section", "k", "line"))).alias("l"))
-    return ordered.select(F.posexplode("l").alias("line_no", "l")).select(
+    written = ordered.filter(F.exists("l", lambda x: x.line.startswith("n: ")))
+    return written.select(F.posexplode("l").alias("line_no", "l")).select(
         (F.col("line_no") + 1).alias("line_no"), F.col("l.line").alias("line")
     )
 
@@ -376,6 +387,8 @@ def parse_verdict(reply: Column | str) -> Column:
 
     def member(name: str, default: str) -> Column:
         value = F.try_variant_get(boxed, f"$[0].{name}", "string")
+        if name == "verdict":  # null is no verdict, as an absent one
+            value = F.coalesce(value, F.lit(default))
         return F.when(F.array_contains(keys, name), value).otherwise(default)
 
     broken = F.struct(

@@ -27,7 +27,14 @@ def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     ``multiline`` allows line breaks inside quotes but makes files unsplittable.
     """
     raw = spark.read.csv(
-        path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline
+        path,
+        header=True,
+        inferSchema=False,
+        quote='"',
+        escape='"',
+        multiLine=multiline,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )
     arrival = F.struct(
         F.col("_metadata.file_path").alias("file"),
@@ -81,10 +88,23 @@ def clean_row(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.select(*values, *carried, found.cast("array<string>").alias(REASONS))
 
 
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, as a quoted line break leaves it."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def read_table_csv(
-    spark: SparkSession, path: str, spec: TableSpec, multiline: bool = False
+    spark: SparkSession, path: str, spec: TableSpec, multiline: bool | None = None
 ) -> DataFrame:
-    """A table's CSV as typed rows with ``_arrival`` and ``_reasons``."""
+    """A table's CSV as typed rows with ``_arrival`` and ``_reasons``.
+
+    Values may hold quoted line breaks. By default the file is scanned for them first: one
+    without any is read line by line, which splits large files and gives the same rows.
+    """
+    if multiline is None:
+        multiline = has_quoted_breaks(spark, path)
     return clean_row(scan_csv(spark, path, multiline), spec)
 
 
@@ -99,9 +119,17 @@ def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """CSV with a header and a fixed column order; quotes are doubled."""
+    """CSV with a header and a fixed column order; quotes are doubled, outer blanks stay."""
     out = df.select(*columns) if columns else df
-    out.write.csv(path, header=True, mode="overwrite", quote='"', escape='"')
+    out.write.csv(
+        path,
+        header=True,
+        mode="overwrite",
+        quote='"',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_summary(lines: DataFrame, folder: str, at: datetime | None = None) -> str:

@@ -70,7 +70,20 @@ def test_summary_lines(spark):
     assert lines[:4] == ["=" * 20, "EVAL SUMMARY", "=" * 20, "n: 4"]
     assert lines[4] == "execution_accuracy: 0.25 (1/4)"
     assert "easy: n=2, accuracy=0.5, fail_rate=0.0, avg_edit_distance=3.0" in lines
-    assert lines[-2:] == ["syntax_error: 1", "timeout_or_cancelled: 1"]
+    at = lines.index("error_breakdown:")
+    assert lines[at + 1 : at + 3] == ["syntax_error: 1", "timeout_or_cancelled: 1"]
+    assert [x.split("0")[0] for x in lines[at + 3 :]] == [
+        "judge_correct:   ", "judge_partial:   ", "judge_incorrect: ",
+    ]
+
+
+def test_no_lines_without_valid_examples(spark):
+    assert report.summary_lines(outcomes(spark).filter("NOT gold_ok")).count() == 0
+
+
+def test_null_verdict_is_unknown(spark):
+    df = spark.createDataFrame([('{"verdict": null, "reasoning": "r"}',)], "reply string")
+    assert df.select(report.parse_verdict("reply").alias("p")).first().p.verdict == "UNKNOWN"
 
 
 @pytest.mark.parametrize("case", ["random", "same", "tenths", "two"])
@@ -124,7 +137,9 @@ def test_parse_verdict_against_json(spark, reply):
     text = reply.replace("```json", "").replace("```", "").strip()
     try:
         parsed = json.loads(text)
-        want = (parsed.get("verdict", "UNKNOWN"), parsed.get("reasoning", ""))
+        # A null verdict is no verdict, as an absent one.
+        verdict = parsed.get("verdict", "UNKNOWN")
+        want = ("UNKNOWN" if verdict is None else verdict, parsed.get("reasoning", ""))
     except Exception:  # noqa: BLE001
         want = ("ERROR", "reply is not a JSON object")
     assert tuple(got) == want
