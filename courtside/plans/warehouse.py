@@ -6,6 +6,7 @@ so a season query reads its own partition and a season's upsert rewrites only th
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -26,12 +27,14 @@ from courtside.operators.integrity import (
 from courtside.operators.keys import OrderCols, fresh_rows, insert_ignore, upsert
 from courtside.schemas import LOAD_ORDER, TABLES, TableSpec
 from courtside.session import pin, scratch_path
+from courtside.sources.dims import event_message_types
 from courtside.sources.feeds import (
     normalise_game,
     normalise_game_log,
     normalise_pbp,
     normalise_player,
     normalise_player_season,
+    normalise_team,
     normalise_totals,
 )
 from courtside.sources.files import ARRIVAL, read_table_csv
@@ -135,6 +138,7 @@ def season_batches(
     season count as loaded for its logs and events.
     """
     order = _order_columns(inputs.order_cols)
+    arrival = tuple(order)
     batches: dict[str, DataFrame] = {}
     rejects: dict[str, DataFrame] = {}
     parents = dict(state)
@@ -148,23 +152,24 @@ def season_batches(
         parents[name] = known.select(*keys).unionByName(batches[name].select(*keys)).distinct()
 
     if inputs.players is not None:
-        checked("player", normalise_player(inputs.players, order))
+        checked("player", normalise_player(inputs.players, order, flag=True))
         arrived("player", ["player_id"])
     if inputs.games is not None:
-        checked("game", normalise_game(inputs.games, order))
+        checked("game", normalise_game(inputs.games, order, flag=True))
         arrived("game", ["game_id"])
     if inputs.player_season is not None:
-        rows = normalise_player_season(inputs.player_season, inputs.season)
+        # The arrival order stays with the rows: of a repeated key the last one counts.
+        rows = normalise_player_season(inputs.player_season, inputs.season, arrival, flag=True)
         checked("player_season", rows)
     if inputs.totals is not None:
-        checked(TOTALS, normalise_totals(inputs.totals, inputs.season))
+        checked(TOTALS, normalise_totals(inputs.totals, inputs.season, arrival, flag=True))
     if inputs.game_log is not None:
-        rows = normalise_game_log(inputs.game_log, parents["player"], tuple(order))
+        rows = normalise_game_log(inputs.game_log, parents["player"], arrival, flag=True)
         good, bad = split_valid_batches(rows, "player_id", TABLES["player_game_log"], parents)
         batches["player_game_log"], rejects["player_game_log"] = good, bad
     if inputs.play_by_play is not None:
         games = batches.get("game", parents["game"])
-        rows = normalise_pbp(inputs.play_by_play, games)
+        rows = normalise_pbp(inputs.play_by_play, games, flag=True)
         good, bad = split_valid_batches(rows, "game_id", TABLES["play_by_play"], parents)
         batches["play_by_play"], rejects["play_by_play"] = good, bad
     return batches, rejects
@@ -187,7 +192,7 @@ def apply_season(
     for name in ("player_season", TOTALS):
         if name in batches:
             keys = list(TABLES[name].unique)
-            after[name] = upsert(state[name], batches[name], keys, keys)
+            after[name] = upsert(state[name], batches[name], keys, order)
     if "player_game_log" in batches:
         after["player_game_log"] = insert_ignore(
             state["player_game_log"],
@@ -251,7 +256,7 @@ def store_season(
             keys = list(TABLES[name].unique)
             stored = state[name].filter(F.col(SEASON) == season_to_int(F.lit(inputs.season)))
             # Pinned, because writing replaces the partition it is read from.
-            merged = pin(upsert(stored, batches[name], keys, keys))
+            merged = pin(upsert(stored, batches[name], keys, order))
             write_table(merged, root, name, "replace_seasons")
     if "player_game_log" in batches:
         fresh = fresh_rows(
@@ -265,3 +270,23 @@ def store_season(
     if "play_by_play" in batches:
         write_table(batches["play_by_play"], root, "play_by_play")
     return rejects
+
+
+def store_dimensions(spark: SparkSession, root: str, teams: DataFrame) -> None:
+    """Store the teams and event types that aren't stored yet; both are small and constant."""
+    state = read_warehouse(spark, root)
+    for name, rows in (
+        ("team", normalise_team(teams)),
+        ("event_message_type", event_message_types(spark)),
+    ):
+        key = list(TABLES[name].conflict_key)
+        fresh = fresh_rows(state[name], rows, key, key)
+        write_table(pin(fresh), root, name)
+
+
+def build_warehouse(
+    spark: SparkSession, root: str, teams: DataFrame, seasons: Iterable[SeasonInputs]
+) -> list[dict[str, DataFrame]]:
+    """Dimensions first, then one season after another; each season's rejected rows."""
+    store_dimensions(spark, root, teams)
+    return [store_season(spark, root, inputs) for inputs in seasons]

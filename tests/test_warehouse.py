@@ -3,7 +3,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.plans.warehouse import SeasonInputs, load_all, read_warehouse, store_season
+from courtside.plans.warehouse import (
+    SeasonInputs,
+    build_warehouse,
+    load_all,
+    read_warehouse,
+    store_season,
+)
 from courtside.sources.feeds import align, normalise_player, normalise_team
 from courtside.sources.files import read_corpus, read_table_csv, write_csv, write_summary
 from courtside.schemas import TABLES
@@ -67,6 +73,9 @@ def test_gp_is_truncated_by_name(spark, csv_folder):
     assert rows.first().gp == 70.0
 
 
+TEAMS = "id int, nickname string, year_founded int"
+
+
 def season(spark, label, pts, extra=()):
     players = [("1", "Al", "1999", 0), ("2", "Bo", "", 1), ("1", "Al again", "x", 2)]
     return SeasonInputs(
@@ -127,6 +136,69 @@ def test_seasons_are_stored_one_after_another(spark, tmp_path):
     assert kept == {22022: 33.0, 22023: 5.0}
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 4])
+def test_last_arrival_of_a_repeated_key_is_stored(spark, tmp_path, partitions):
+    root = str(tmp_path)
+    inputs = season(spark, "2022-23", 20.0)
+    rows = [("1", "10", "6-5", float(o), o) for o in (3, 8, 1, 5, 2, 7, 4, 6)]
+    schema = "PLAYER_ID string, TEAM_ID string, PLAYER_HEIGHT string, PTS double, o int"
+    inputs.player_season = spark.createDataFrame(rows, schema).repartition(partitions, "PTS")
+    inputs.game_log = inputs.play_by_play = None
+    teams = spark.createDataFrame([(10, "A", 1990), (11, "B", None)], TEAMS)
+    build_warehouse(spark, root, teams, [inputs])
+    stored = read_warehouse(spark, root)["player_season"].collect()
+    assert [(r.player_id, r.pts) for r in stored] == [(1, 8.0)]
+
+
+def test_warehouse_over_seasons_from_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    teams = spark.createDataFrame([(10, "A", 1990), (11, "B", None)], TEAMS)
+    seasons = [season(spark, "2021-22", 9.0), season(spark, "2022-23", 20.0)]
+    rejects = build_warehouse(spark, root, teams, seasons)
+    assert [set(r) for r in rejects] == [set(rejects[0])] * 2
+    assert all(r["game"].count() == 0 for r in rejects)
+    tables = read_warehouse(spark, root)
+    assert tables["team"].count() == 2 and tables["event_message_type"].count() > 10
+    assert {r.season_id for r in tables["player_season"].collect()} == {22021, 22022}
+    # Again: dimensions stay single.
+    build_warehouse(spark, root, teams, [])
+    assert read_warehouse(spark, root)["team"].count() == 2
+
+
+def test_numbers_out_of_range_reject_their_batch(spark, tmp_path):
+    root = str(tmp_path)
+    inputs = season(spark, "2022-23", 20.0)
+    schema = "PLAYER_ID string, Game_ID string, TEAM_ID string, SEASON_ID string, PTS double, o int"
+    rows = [
+        ("1", "g1", "10", "22022", 7.0, 1),
+        ("2", "g1", "99999999999", "22022", 1.0, 1),
+        ("1", "g1", "x1", "22022", 5.0, 2),
+    ]
+    inputs.game_log = spark.createDataFrame(rows, schema)
+    inputs.player_season = spark.createDataFrame(
+        [("1", "10", "6-5", 1e40, 1), ("2", "10", "6-5", float("inf"), 2)],
+        "PLAYER_ID string, TEAM_ID string, PLAYER_HEIGHT string, PTS double, o int",
+    )
+    inputs.play_by_play = None
+    teams = spark.createDataFrame([(10, "A", 1990), (11, "B", None)], TEAMS)
+    rejects = build_warehouse(spark, root, teams, [inputs])[0]
+    assert {r.player_id: r._reasons for r in rejects["player_game_log"].collect()} == {
+        2: ["team_id: out of range of int"]
+    }
+    assert {r.player_id: r._reasons for r in rejects["player_season"].collect()} == {
+        1: ["pts: out of range of float"]
+    }
+    stored = read_warehouse(spark, root)
+    assert [(r.player_id, r.team_id, r.pts) for r in stored["player_game_log"].collect()] == [(1, 10, 7.0)]
+
+
+def test_quoted_line_breaks_load(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "player.csv").write_text('player_id,player_name\n1,"A\nB"\n2, C \n')
+    rows = read_table_csv(spark, str(tmp_path / "in" / "player.csv"), TABLES["player"]).collect()
+    assert [(r.player_id, r.player_name, r._reasons) for r in rows] == [(1, "A\nB", []), (2, " C ", [])]
+
+
 def test_log_feed_is_repeatable(spark, tmp_path):
     root, landing = str(tmp_path / "root"), str(tmp_path / "landing")
     first = season(spark, "2022-23", 20.0)
