@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,26 +17,29 @@ from courtside.llm.common import salted_join, stored
 _BUCKET_BITS = 18
 # Bits of the filter that tells which lines' words are wanted; a wrong yes is joined away.
 _FILTER_BITS = 23
+# Text bytes whose prefix entries share a slot, about: the unit of the join's Python side.
+_SLOT_BYTES = 16 << 20
 # Groups larger than this are compared block by block.
 _LARGE = 48
 _BLOCK = 512
-_SEEN = 500_000
+_SEEN = 200_000
+# Documents whose lines are tabulated together.
+_SLICE = 2_000
 
 _LINE = (
     "doc bigint, hash bigint, line int, raw bigint, key bigint, check bigint, n int, "
     "bits bigint, prefix array<int>"
 )
+# A prefix entry, packed: many share a row on their way to the slot of their token.
+_ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("key", "<i8"), ("bits", "<u8")])
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
+def _hashes(texts: list[str]) -> np.ndarray:
+    """XXH64 with the seed that Spark's function of that name uses."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
-
-
-def _line_hashes(lines: list[str]) -> np.ndarray:
-    return _word_hashes(lines)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(t.encode("utf-8", "replace"), 42) for t in texts), np.uint64, len(texts))
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -54,26 +56,20 @@ def required(total: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
 
 
-def _word_counts(docs: DataFrame) -> np.ndarray:
-    """How often words of each bucket occur in all texts; a fixed number of buckets."""
+def _word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How often words of each bucket occur in all texts, and the texts' bytes.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros(1 << _BUCKET_BITS, dtype=np.int64)
-        for batch in batches:
-            found: Counter = Counter()
-            for text in batch["_text"]:
-                found.update(text.lower().split())
-            if found:
-                at = _word_hashes(list(found)) >> np.uint64(64 - _BUCKET_BITS)
-                np.add.at(totals, at.astype(np.int64), np.fromiter(found.values(), np.int64, len(found)))
-        used = np.flatnonzero(totals)
-        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": totals[used]})
-
-    rows = docs.select("_text").mapInPandas(count, "bucket int, n bigint")
+    A fixed number of buckets. Words are cut a little differently here than later on: the
+    counts only order tokens, and any order serves as long as it is one for all lines.
+    """
+    words = F.explode(F.split(F.lower("_text"), "[ \n\t]"))
+    slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - _BUCKET_BITS).cast("int")
+    rows = docs.select(words.alias("w")).groupBy(slot.alias("bucket")).count()
     counts = np.zeros(1 << _BUCKET_BITS, dtype=np.int64)
-    for bucket, n in rows.groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in rows.collect():
         counts[bucket] = n
-    return counts
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return counts, int(size)
 
 
 def _line_table(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
@@ -89,9 +85,10 @@ def _line_table(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataF
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        slices = (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE))
+        for batch in slices:
             ids, hashes = batch.column("_id"), batch.column("_hash").to_numpy(zero_copy_only=False)
-            owners, places, texts, sets, words = [], [], [], [], {}
+            owners, places, texts, words = [], [], [], {}
             sizes: list[int] = []
             flat: list[int] = []
             number = words.setdefault
@@ -106,7 +103,7 @@ def _line_table(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataF
                         flat.extend([number(w, len(words)) for w in sets])
             if not owners:
                 continue
-            hashed = _word_hashes(list(words))
+            hashed = _hashes(list(words))
             common = counts[(hashed >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)]
             order = np.lexsort((hashed, common))
             rank = np.empty(len(order), dtype=np.uint64)
@@ -137,7 +134,7 @@ def _line_table(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataF
                     ids.take(pa.array(owners)),
                     pa.array(hashes[owners]),
                     pa.array(np.array(places, dtype=np.int32)),
-                    _signed(_line_hashes(texts)),
+                    _signed(_hashes(texts)),
                     _signed(key),
                     _signed(check),
                     pa.array(n.astype(np.int32)),
@@ -220,19 +217,62 @@ def _by_token(df: DataFrame) -> DataFrame:
     return df.repartition("token").sortWithinPartitions("token")
 
 
-def _survivors(lines: DataFrame, similarity: float) -> DataFrame:
-    """Prefix entries with a possible partner of another set under the same token."""
-    entries = lines.select(
-        "key", "n", "bits", F.posexplode("prefix").alias("pos", "token")
-    )
+def _survivors(lines: DataFrame, similarity: float, slots: int) -> DataFrame:
+    """Prefix entries with a possible partner of another set under the same token.
 
-    def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_groups(batches):
-            frame = frame.drop_duplicates(["token", "key"]).sort_values("token", kind="stable")
-            yield frame[_partnered(_arrays(frame), similarity)]
+    Entries travel packed, one row for each slot of tokens and batch of lines. There are
+    as many ``slots`` as the texts are large, so a slot holds about the same at any size.
+    """
 
-    schema = "token int, key bigint, n int, pos int, bits bigint"
-    return _by_token(entries.select("token", "key", "n", "pos", "bits")).mapInPandas(filtered, schema)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            ends = prefix.offsets.to_numpy()
+            each = np.diff(ends)
+            rows = np.empty(int(each.sum()), dtype=_ENTRY)
+            if not len(rows):
+                continue
+            rows["token"] = prefix.flatten().to_numpy().view(np.uint32)
+            rows["pos"] = np.arange(len(rows)) - np.repeat(ends[:-1] - ends[0], each)
+            for name in ("n", "key", "bits"):
+                values = batch.column(name).to_numpy()
+                rows[name] = np.repeat(values.view(np.uint64) if name == "bits" else values, each)
+            slot = (rows["token"].astype(np.uint64) * np.uint64(slots)) >> np.uint64(32)
+            order = np.argsort(slot, kind="stable")
+            rows, slot = rows[order], slot[order]
+            begins = np.flatnonzero(np.diff(slot.astype(np.int64), prepend=-1))
+            bodies = [rows[i:j].tobytes() for i, j in zip(begins, [*begins[1:], len(rows)], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot[begins].astype(np.int32)), pa.array(bodies, pa.binary())],
+                names=["slot", "entries"],
+            )
+
+    def filtered(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([np.frombuffer(x, dtype=_ENTRY) for x in frame["entries"]])
+        rows = rows[np.lexsort((rows["key"], rows["token"]))]
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["token"][1:] != rows["token"][:-1])
+        rows = rows[new]
+        columns = {name: rows[name].astype(np.int64) for name in ("token", "n", "pos")}
+        columns |= {"key": rows["key"].copy(), "bits": rows["bits"].copy()}
+        left = rows[_partnered(columns, similarity)]
+        return pd.DataFrame(
+            {
+                "token": left["token"].astype(np.int64),
+                "key": left["key"],
+                "n": left["n"].astype(np.int32),
+                "pos": left["pos"].astype(np.int32),
+                "bits": left["bits"].copy().view(np.int64),
+            }
+        )
+
+    return (
+        lines.where(F.size("prefix") > 0)
+        .select("key", "n", "bits", "prefix")
+        .mapInArrow(packed, "slot int, entries binary")
+        .groupBy("slot")
+        .applyInPandas(filtered, "token bigint, key bigint, n int, pos int, bits bigint")
+    )
 
 
 def _candidates(entries: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
@@ -287,12 +327,12 @@ def _word_sets(docs: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataFram
             raws, sets = [], []
             for text in batch["_text"]:
                 lines = text.split("\n")
-                hashed = _line_hashes(lines)
+                hashed = _hashes(lines)
                 at = hashed >> np.uint64(64 - _FILTER_BITS)
                 hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
                 for i in np.flatnonzero(hit):
                     raws.append(hashed[i])
-                    found = _word_hashes(list(set(lines[i].lower().split())))
+                    found = _hashes(list(set(lines[i].lower().split())))
                     sets.append(np.sort(found).view(np.int64))
             if raws:
                 frame = pd.DataFrame({"raw": np.array(raws, dtype=np.uint64).view(np.int64), "words": sets})
@@ -308,19 +348,19 @@ def _word_sets(docs: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataFram
 def matched_lines(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """All lines of ``docs`` (``_id``, ``_hash``, ``_text``), and what is known of each set.
 
-    The second table has a row per set of words: ``key``, ``check``, the place of its
-    first line (``doc``, ``hash``, ``line``) and ``near``: whether an earlier line of
-    another set is similar to it.
+    The second table has a row per set of words that costs a line: ``key``, ``check``, the
+    place of its first line (``doc``, ``hash``, ``line``) and ``near``: whether an earlier
+    line of another set is similar to it.
     """
-    counts = _word_counts(docs)
+    counts, size = _word_counts(docs)
     lines = stored(_line_table(docs, counts, similarity), "lines")
     place = F.struct("doc", "hash", "line")
-    firsts = lines.groupBy("key", "check").agg(F.min(place).alias("at"))
-    entries = stored(_survivors(lines, similarity), "line-entries")
-    keys = entries.select("key").distinct()
-    earliest = lines.groupBy("key").agg(F.min(place).alias("at"))
-    at = earliest.join(keys, "key", "left_semi").select("key", "at.*")
-    entries = stored(entries.join(at, "key"), "line-candidates")
+    firsts = lines.groupBy("key", "check").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
+    firsts = stored(firsts.select("key", "check", "copies", "at.*"), "line-firsts")
+    entries = stored(_survivors(lines, similarity, 1 + size // _SLOT_BYTES), "line-entries")
+    keys = stored(entries.select("key").distinct(), "line-keys")
+    at = firsts.join(keys, "key", "left_semi").groupBy("key").agg(F.min(place).alias("at"))
+    entries = stored(entries.join(at.select("key", "at.*"), "key"), "line-candidates")
     sets = stored(_word_sets(docs, keys, lines), "line-words")
     open_keys, near = keys, []
     low, high = 0, 1
@@ -348,10 +388,10 @@ def matched_lines(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
     found = near[0] if near else keys.limit(0)
     for more in near[1:]:
         found = found.unionByName(more)
-    known = firsts.join(found.withColumn("near", F.lit(True)), "key", "left").select(
-        "key", "check", "at.*", F.coalesce("near", F.lit(False)).alias("near")
+    marked = firsts.join(found.withColumn("near", F.lit(True)), "key", "left").withColumn(
+        "near", F.coalesce("near", F.lit(False))
     )
-    return lines, known
+    return lines, marked.where(F.col("near") | (F.col("copies") > 1)).drop("copies")
 
 
 def dedup_lines(
@@ -407,15 +447,18 @@ def dedup_lines(
 
     key = F.col(id_column).cast("long")
     joined = docs.select(
-        *columns,
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_whole"),
+        F.col(text_column).cast("string").alias("_text"),
         F.coalesce(key, F.lit(0)).alias("_k"),
         key.isNull().alias("_nothing"),
         F.xxhash64(text).alias("_h"),
     ).join(removed, ["_k", "_nothing", "_h"], "left")
-    count = F.length(F.col(text_column)) - F.length(F.replace(F.col(text_column), F.lit("\n"))) + 1
+    count = F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1
     return joined.select(
-        *[c for c in columns if c != text_column],
-        without(F.col(text_column).cast("string"), "_removed").alias(text_column),
+        *[
+            without("_text", "_removed").alias(c) if c == text_column else F.col(f"_whole.`{c}`")
+            for c in columns
+        ],
         F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long").alias("n_removed"),
-    ).select(*columns, "n_lines", "n_removed")
+    )
