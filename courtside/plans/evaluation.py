@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.functions.sqltext import (
@@ -19,14 +19,20 @@ from courtside.session import broadcast_if_small, pin, spread
 
 
 def with_distances(df: DataFrame, gold: str = "gold_sql", pred: str = "pred_sql") -> DataFrame:
-    """Add token ``dist`` and ``sim`` of gold and predicted SQL."""
-    tokens = df.withColumns({"_g": sql_tokens(gold), "_p": sql_tokens(pred)})
+    """Add token ``dist`` and ``sim`` of gold and predicted SQL; NULL counts as empty."""
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in (gold, pred)]
+    tokens = df.withColumns({"_g": sql_tokens(texts[0]), "_p": sql_tokens(texts[1])})
     measured = tokens.withColumn("dist", token_distance("_g", "_p"))
     return measured.withColumn(
         "sim", token_similarity("_g", "_p", F.col("dist"))
     ).drop("_g", "_p")
 
 
+def _text_key(sql: str) -> Column:
+    """A short key of a text, of its own for NULL, so that joins neither carry nor lose it."""
+    return F.coalesce(F.md5(F.col(sql).cast("binary")), F.lit("NULL"))
+
+
 def _texts(statements: DataFrame) -> Iterator[tuple[int, str]]:
     for row in statements.select("statement_id", "sql").toLocalIterator():
         yield row.statement_id, row.sql
@@ -38,26 +44,29 @@ def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 20) -> Dat
     ``pairs`` must be pinned. Adds ``gold_ok``, ``pred_err`` (empty if it ran),
     ``error_class`` and ``correct``. Every distinct statement runs once.
     """
-    texts = pairs.select(F.explode(F.array("gold_sql", "pred_sql")).alias("sql")).distinct()
-    statements = pin(texts.withColumn("statement_id", F.monotonically_increasing_id()))
+    keyed = pairs.withColumns({"_gold": _text_key("gold_sql"), "_pred": _text_key("pred_sql")})
+    texts = pairs.select(F.explode(F.array("gold_sql", "pred_sql")).alias("sql"))
+    distinct = texts.groupBy(_text_key("sql").alias("_key")).agg(F.first("sql").alias("sql"))
+    statements = pin(distinct.withColumn("statement_id", F.monotonically_increasing_id()))
     rows, outcomes = run_statements(spark, _texts(statements), chunk)
     error_class = classify_condition("condition", F.col("unknown_qualifier"))
     known = statements.join(outcomes, "statement_id").select(
-        "statement_id", "sql", "ok", "message", error_class.alias("error_class")
+        "statement_id", "_key", "ok", "message", error_class.alias("error_class")
     )
     gold = known.select(
-        F.col("sql").alias("gold_sql"),
+        F.col("_key").alias("_gold"),
         F.col("statement_id").alias("gold_id"),
         F.col("ok").alias("gold_ok"),
     )
     pred = known.select(
-        F.col("sql").alias("pred_sql"),
+        F.col("_key").alias("_pred"),
         F.col("statement_id").alias("pred_id"),
         F.col("ok").alias("pred_ok"),
         F.when(F.col("ok"), "").otherwise(F.col("message")).alias("pred_err"),
         F.when(~F.col("ok"), F.col("error_class")).alias("error_class"),
     )
-    judged = pin(pairs.join(gold, "gold_sql").join(pred, "pred_sql"))
+    gold, pred = broadcast_if_small(pin(gold)), broadcast_if_small(pin(pred))
+    judged = pin(keyed.join(gold, "_gold").join(pred, "_pred"))
     both_ran = F.col("gold_ok") & F.col("pred_ok")
     same = F.col("gold_id") == F.col("pred_id")
     # Equal statements give equal results; only differing ones need their rows.
@@ -87,15 +96,21 @@ def evaluate(spark: SparkSession, examples: DataFrame, chunk: int = 20) -> DataF
 
     ``examples`` has ``gold_sql`` and ``pred_sql``, and any of ``difficulty`` and
     ``verdict``; other columns are kept. Pairs that occur many times are measured and
-    run once.
+    run once. A NULL text is a failed statement: without its gold an example doesn't
+    count, without its prediction it counts as failed.
     """
     defaults = {"difficulty": F.lit("unknown"), "verdict": F.lit(None).cast("string")}
     missing = {c: v for c, v in defaults.items() if c not in examples.columns}
     full = examples.withColumns(missing) if missing else examples
     distinct = full.select("gold_sql", "pred_sql").distinct()
     pairs = pin(distinct.withColumn("pair_id", F.monotonically_increasing_id()))
-    executed = execute_pairs(spark, pairs, chunk).drop("pair_id")
-    scored = with_distances(spread(pairs.drop("pair_id"))).join(
-        executed, ["gold_sql", "pred_sql"]
+    executed = execute_pairs(spark, pairs, chunk).drop("gold_sql", "pred_sql")
+    scored = with_distances(spread(pairs)).join(executed, "pair_id")
+    texts = ["gold_sql", "pred_sql"]
+    known = scored.select(
+        F.concat_ws("|", *[_text_key(c) for c in texts]).alias("_pair"),
+        *[c for c in scored.columns if c not in (*texts, "pair_id")],
     )
-    return full.join(scored, ["gold_sql", "pred_sql"])
+    keyed = full.withColumn("_pair", F.concat_ws("|", *[_text_key(c) for c in texts]))
+    joined = keyed.join(known, "_pair").drop("_pair")
+    return joined.select(*texts, *[c for c in joined.columns if c not in texts])

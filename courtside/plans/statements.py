@@ -47,13 +47,17 @@ def _failure(error: Exception) -> tuple[str, str]:
     return "", str(error)
 
 
-def run_sql(spark: SparkSession, sql: str) -> Outcome:
+def run_sql(spark: SparkSession, sql: str | None) -> Outcome:
     """Analyse a query and return its DataFrame; an error is returned, not raised.
 
+    A NULL text is a failed statement.
+
     The text is first analysed as a subquery, which accepts SELECT and WITH and
     refuses every command, because ``spark.sql`` runs commands at once. Errors that
     only show while rows are read come from the action on ``df``.
     """
+    if sql is None:
+        return Outcome(False, None, "", "the statement is NULL")
     body = sql.strip().rstrip(";").rstrip()
     try:
         spark.sql(f"SELECT * FROM (\n{body}\n)")
@@ -112,7 +116,7 @@ def first_rows(max_rows: int) -> Callable[[int, DataFrame], DataFrame]:
 
 def run_statements(
     spark: SparkSession,
-    statements: Iterable[tuple[int, str]],
+    statements: Iterable[tuple[int, str | None]],
     chunk: int = 20,
     shape: Callable[[int, DataFrame], DataFrame] = _result_rows,
 ) -> tuple[DataFrame, DataFrame]:
@@ -121,14 +125,22 @@ def run_statements(
     ``rows`` is ``(statement_id, pos, row)``, by default all rows in comparable text form
     without positions. ``shape`` makes them from a statement's result. They are written by
     Spark to the shared folder, a chunk of statements per job so that plans stay small. A chunk that
-    fails while running is halved until the failing statements stand alone.
+    fails while running is halved until the failing statements stand alone. Outcomes are
+    written with their chunk too, so the driver holds those of one chunk only.
     """
-    path = scratch_path(spark, "statement-rows")
+    path, told = scratch_path(spark, "statement-rows"), scratch_path(spark, "statement-outcomes")
     spark.createDataFrame([], ROWS_SCHEMA).write.parquet(path)
+    spark.createDataFrame([], OUTCOME_SCHEMA).write.parquet(told)
     outcomes: list[tuple] = []
 
-    def fail(statement_id: int, sql: str, condition: str, message: str) -> None:
-        bad_name = unknown_qualifier(sql, condition, message)
+    def tell() -> None:
+        if outcomes:
+            frame = spark.createDataFrame(outcomes, OUTCOME_SCHEMA).coalesce(1)
+            frame.write.mode("append").parquet(told)
+            outcomes.clear()
+
+    def fail(statement_id: int, sql: str | None, condition: str, message: str) -> None:
+        bad_name = sql is not None and unknown_qualifier(sql, condition, message)
         outcomes.append((statement_id, False, condition, message, bad_name, []))
 
     def store(batch: list[Waiting]) -> None:
@@ -152,15 +164,19 @@ def run_statements(
         outcome = run_sql(spark, sql)
         if not outcome.ok:
             fail(statement_id, sql, outcome.condition, outcome.message)
+            if len(outcomes) >= chunk:
+                tell()
             continue
         rows = shape(statement_id, outcome.df)
         waiting.append(Waiting(statement_id, sql, outcome.df.columns, rows))
         if len(waiting) == chunk:
             flush(waiting)
+            tell()
             waiting = []
     if waiting:
         flush(waiting)
+    tell()
     rows = spark.read.schema(ROWS_SCHEMA).parquet(path)
-    return rows, spark.createDataFrame(outcomes, OUTCOME_SCHEMA)
+    return rows, spark.read.schema(OUTCOME_SCHEMA).parquet(told)
 
 

@@ -2,6 +2,7 @@ import pytest
 
 from courtside.catalogue.evaluation import GOLD_STATEMENTS
 from courtside.plans.ask import ask
+from courtside.plans.evaluation import evaluate
 from courtside.plans.statements import run_sql, run_statements, unknown_qualifier
 
 
@@ -101,3 +102,19 @@ def test_ask(spark, table):
     assert answer.scores.correct == 1 and answer.scores.dist == 3
     failed = ask(spark, "SELECT CAST(v AS int) FROM things")
     assert not failed.ok and "CAST_INVALID_INPUT" in failed.error
+
+
+def test_null_statements_are_failures(spark, table):
+    rows = [
+        ("SELECT k FROM things", None),
+        (None, "SELECT k FROM things"),
+        (None, None),
+        ("SELECT k FROM things", "SELECT k FROM things"),
+    ]
+    examples = spark.createDataFrame(
+        [(i, g, p) for i, (g, p) in enumerate(rows)], "i int, gold_sql string, pred_sql string"
+    )
+    got = {r.i: r for r in evaluate(spark, examples).collect()}
+    assert [got[i].gold_ok for i in range(4)] == [True, False, False, True]
+    assert [got[i].correct for i in range(4)] == [0, 0, 0, 1]
+    assert got[0].pred_err and got[0].dist == 4 and got[3].dist == 0
