@@ -243,7 +243,8 @@ def _season_feed(v: Views, table: str) -> DataFrame:
     renamed = {"game_id": "GAME_ID" if table != "raw_game_log" else "Game_ID"}
     return rows.select(
         *[F.col(c).alias(renamed.get(c, c.upper())) for c in rows.columns if c not in ARRIVAL],
-        *[F.col(c) for c in ARRIVAL if c in rows.columns],
+        # Statistics hold one row per key, so any order is theirs.
+        *[F.col(c) if c in rows.columns else F.lit(0).alias(c) for c in ARRIVAL],
     )
 
 
