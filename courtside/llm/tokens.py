@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-# White space at the ends of a text, twice in a row, or of an unusual kind: such texts are
-# encoded as a whole. \s of this library covers all white space the tokenizer knows.
-_IRREGULAR = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
-
 
 class Encoder:
     """Encodes with a file of the ``tokenizers`` library.
@@ -17,12 +11,13 @@ class Encoder:
     A byte-level vocabulary never joins what a single blank or line end separates: it cuts
     texts in front of a white space that stands between two other characters. Texts with
     no other white space are therefore encoded piece by piece, and the ids of a piece are
-    remembered (at most ``memory`` pieces; the memory starts anew when it is full).
+    remembered; other texts are encoded as a whole. Memory is bounded: a full one of
+    ``memory`` pieces becomes the old one, whose pieces move on when they are seen again.
     """
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, memory: int = 400_000) -> None:
+    def __init__(self, path: str, memory: int = 200_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,6 +26,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # Byte-level tokens are written with one character for each byte.
+        size = self.tokenizer.get_vocab_size()
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -39,27 +38,44 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _encode(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, dtype="<u4")
+
+    def _pieces(self, pieces: list[str]) -> list[bytes] | None:
+        """Ids of each of the pieces of a text, encoded in one go."""
+        ids = self._encode("".join(pieces))
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        reached = np.cumsum(self.bytes_of[ids])
+        cuts = np.searchsorted(reached, ends)
+        if not len(ids) or (reached[np.minimum(cuts, len(ids) - 1)] != ends).any():
+            return None
+        return [ids[i:j].tobytes() for i, j in zip([0, *(cuts[:-1] + 1)], cuts + 1, strict=True)]
+
+    def _regular(self, first: str, rest: list[str]) -> bytes | None:
+        """Ids of a text cut at single blanks and line ends; None if it holds another space."""
+        missing = set(rest).difference(self.known)
+        if len(self.known) + len(missing) > self.memory:
+            self.old, self.known = self.known, {}
+            missing = set(rest)
+        new = list(missing.difference(self.old))
+        self.known.update((p, self.old[p]) for p in missing.difference(new))
+        if any(p.removeprefix("\n").split() != [p.removeprefix("\n")] for p in [first, *new]):
+            return None
+        # A piece that doesn't begin with a line end had a blank in front of it.
+        found = self._pieces([first, *(p if p[0] == "\n" else " " + p for p in new)])
+        if found is None:
+            return None
+        self.known.update(zip(new, found[1:], strict=True))
+        return b"".join([found[0], *map(self.known.__getitem__, rest)])
 
     def encode(self, text: str, end_id: int) -> np.ndarray:
         """The ids of ``text`` (unsigned 32-bit), then ``end_id``."""
         end = np.array([end_id], dtype="<u4").tobytes()
         if not text:
             return np.frombuffer(end, "<u4")
-        if _IRREGULAR.search(text):
-            return np.frombuffer(self._encode([text])[0] + end, "<u4")
-        pieces = text.replace("\n", " \n").split(" ")
-        # A piece that doesn't begin with a line end had a blank in front of it.
-        first, rest = pieces[0], pieces[1:]
-        known = self.known
-        missing = [p for p in dict.fromkeys(rest) if p not in known]
-        if missing:
-            if len(known) + len(missing) > self.memory:
-                known.clear()
-                missing = list(dict.fromkeys(rest))
-            whole = [p if p[0] == "\n" else " " + p for p in missing]
-            known.update(zip(missing, self._encode(whole), strict=True))
-        ids = b"".join([*self._encode([first]), *map(known.__getitem__, rest), end])
-        return np.frombuffer(ids, "<u4")
+        first, *rest = text.replace("\n", " \n").split(" ")
+        ids = self._regular(first, rest)
+        if ids is None:
+            ids = self._encode(text).tobytes()
+        return np.frombuffer(ids + end, "<u4")
