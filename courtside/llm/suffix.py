@@ -14,8 +14,8 @@ from courtside.llm.common import salted_join, stored
 
 # Bytes of the grams whose least hash in a window names the window's anchor.
 GRAM = 32
-# Text bytes a shard's suffix array is built over, about.
-SHARD_BYTES = 2 << 20
+# Text bytes a shard's suffix array is built over, about: its arrays should fit a cache.
+SHARD_BYTES = 256 << 10
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
