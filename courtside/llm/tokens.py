@@ -17,7 +17,7 @@ class Encoder:
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, memory: int = 200_000) -> None:
+    def __init__(self, path: str, memory: int = 300_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +54,8 @@ class Encoder:
 
     def _regular(self, first: str, rest: list[str]) -> bytes | None:
         """Ids of a text cut at single blanks and line ends; None if it holds another space."""
-        missing = set(rest).difference(self.known)
+        found = list(map(self.known.get, rest))
+        missing = {p for p, ids in zip(rest, found, strict=True) if ids is None} if None in found else set()
         if len(self.known) + len(missing) > self.memory:
             self.old, self.known = self.known, {}
             missing = set(rest)
@@ -63,11 +64,13 @@ class Encoder:
         if any(p.removeprefix("\n").split() != [p.removeprefix("\n")] for p in [first, *new]):
             return None
         # A piece that doesn't begin with a line end had a blank in front of it.
-        found = self._pieces([first, *(p if p[0] == "\n" else " " + p for p in new)])
-        if found is None:
+        made = self._pieces([first, *(p if p[0] == "\n" else " " + p for p in new)])
+        if made is None:
             return None
-        self.known.update(zip(new, found[1:], strict=True))
-        return b"".join([found[0], *map(self.known.__getitem__, rest)])
+        self.known.update(zip(new, made[1:], strict=True))
+        if missing:
+            found = map(self.known.__getitem__, rest)
+        return b"".join([made[0], *found])
 
     def encode(self, text: str, end_id: int) -> np.ndarray:
         """The ids of ``text`` (unsigned 32-bit), then ``end_id``."""
