@@ -35,7 +35,7 @@ class Features:
         known = Features._buckets
         found = known.get(word)
         if found is None:
-            if len(known) >= 400_000:
+            if len(known) >= 100_000:
                 known.clear()
             found = known[word] = zlib.crc32(word.encode("utf-8", "replace")) % self.buckets
         return found
@@ -156,8 +156,8 @@ def fit_machine(
         for begin in range(0, len(order), batch):
             chosen = order[begin : begin + batch]
             sizes = np.array([len(rows[i][0]) for i in chosen])
-            ids = np.concatenate([rows[i][0] for i in chosen])
-            x = model.prepare(ids, np.concatenate([rows[i][1] for i in chosen]))
+            ids = np.concatenate([rows[i][0] for i in chosen]).astype(np.int64)
+            x = model.prepare(ids, np.concatenate([rows[i][1] for i in chosen]).astype(float))
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             weighted = model.factors[ids] * x[:, None]
             sums = np.add.reduceat(weighted, starts)
@@ -239,8 +239,7 @@ def fit_quality(
         .collect()
     )
     sparse = [
-        (np.frombuffer(r.row.ids, "<i4").astype(np.int64), np.frombuffer(r.row["values"], "<f4").astype(float))
-        for r in rows
+        (np.frombuffer(r.row["ids"], "<i4"), np.frombuffer(r.row["values"], "<f4")) for r in rows
     ]
     return fit_machine(sparse, np.array([r["_y"] for r in rows], dtype=float), buckets)
 
