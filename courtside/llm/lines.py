@@ -14,7 +14,7 @@ from courtside.llm.common import salted_join, stored
 
 # Word counts are kept in this many hashed buckets: they only order tokens, so that two
 # words in a bucket cost time and never a match.
-_BUCKET_BITS = 18
+_BUCKET_BITS = 22
 # Bits of the filter that tells which lines' words are wanted; a wrong yes is joined away.
 _FILTER_BITS = 23
 # Text bytes whose prefix entries share a slot, about: the unit of the join's Python side.
@@ -65,9 +65,9 @@ def _word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     words = F.explode(F.split(F.lower("_text"), "[ \n\t]"))
     slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - _BUCKET_BITS).cast("int")
     rows = docs.select(words.alias("w")).groupBy(slot.alias("bucket")).count()
-    counts = np.zeros(1 << _BUCKET_BITS, dtype=np.int64)
-    for bucket, n in rows.collect():
-        counts[bucket] = n
+    counts = np.zeros(1 << _BUCKET_BITS, dtype=np.int32)
+    for part in rows.select("bucket", F.least("count", F.lit(2**31 - 1)).cast("int")).toArrow().to_batches():
+        counts[part.column(0).to_numpy()] = part.column(1).to_numpy()
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     return counts, int(size)
 
@@ -384,7 +384,12 @@ def matched_lines(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
         )
         near.append(verified.where("similar").select("key"))
         open_keys = verified.where("NOT similar").select("key")
-        low, high = high, 4 * high
+        if open_keys.isEmpty():
+            break
+        # Only tokens of open keys are looked at again.
+        tokens = entries.join(open_keys, "key", "left_semi").select("token").distinct()
+        entries = stored(entries.join(tokens, "token", "left_semi"), "line-candidates")
+        low, high = high, 16 * high
     found = near[0] if near else keys.limit(0)
     for more in near[1:]:
         found = found.unionByName(more)
