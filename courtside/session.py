@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count a checked side may have and still be broadcast: two short
-# columns per row keep it to tens of megabytes.
+# Most rows and bytes a checked side may have and still be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,16 +42,25 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def is_small(pinned: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether there are at most ``max_rows`` rows; the count stops one row later.
+def is_small(
+    pinned: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether there are at most so many rows and bytes; the count stops one row later.
 
-    ``pinned`` must be cheap to read twice (a checkpoint or a stored table).
+    ``pinned`` must be cheap to read twice (a checkpoint or a stored table). Bytes are
+    those of the values written as text.
     """
-    return pinned.limit(max_rows + 1).count() <= max_rows
+    texts = [F.col(f"`{c}`").cast("string") for c in pinned.columns]
+    width = F.octet_length(F.concat_ws("", *texts))
+    found = pinned.limit(max_rows + 1).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    )
+    size = found.first()
+    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
 def broadcast_if_small(pinned: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to Spark."""
+    """Hint a broadcast only after counting rows and bytes; otherwise Spark decides."""
     return F.broadcast(pinned) if is_small(pinned, max_rows) else pinned
 
 
