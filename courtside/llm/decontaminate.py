@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 Q = 8
 _TABLE_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+# Bytes of words: ASCII letters and digits, and all of other characters.
+_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def normalise(text: str) -> bytes:
@@ -34,7 +36,11 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Q-grams of benchmark items: sorted codes with the items and places they occur at."""
+    """Q-grams of benchmark items: sorted codes with the items and places they occur at.
+
+    ``short`` has the numbers of the items that are searched exactly, by their text, and
+    ``lengths`` how long those are.
+    """
 
     ids: list
     texts: list[bytes]
@@ -44,14 +50,24 @@ class Index:
     items: np.ndarray
     places: np.ndarray
     present: np.ndarray
+    short: dict[bytes, list[int]]
+    lengths: list[int]
 
     @classmethod
     def of(cls, rows: list[tuple], edit_rate: float, min_chars: int) -> Index:
         ids, texts, budgets, needed = [], [], [], []
         codes, items, places = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)]
+        short: dict[bytes, list[int]] = {}
         for key, text in rows:
             data = normalise(text or "")
+            if not data:
+                continue
             if len(data) < max(Q, min_chars):
+                short.setdefault(data, []).append(len(ids))
+                ids.append(key)
+                texts.append(data)
+                budgets.append(0)
+                needed.append(0)
                 continue
             grams = len(data) - Q + 1
             # The lemma: k edits destroy at most k * q of the item's q-grams. The budget is
@@ -77,11 +93,35 @@ class Index:
             np.concatenate(items)[order],
             np.concatenate(places)[order],
             present,
+            short,
+            sorted({len(data) for data in short}),
         )
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
         """Item number, first and last byte, distance, shared q-grams of each match's item."""
         data = normalise(text)
+        if self.short:
+            yield from self._exact(data)
+        yield from self._near(data)
+
+    def _exact(self, data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place of each short item that stands between word boundaries."""
+        letters = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(data) + 2, dtype=bool)
+        inside[1:-1] = _WORD[letters]
+        edge = ~(inside[:-1] & inside[1:])
+        for length in self.lengths:
+            if length > len(data):
+                break
+            seen = set()
+            for begin in np.flatnonzero(edge[: len(edge) - length] & edge[length:]).tolist():
+                part = data[begin : begin + length]
+                if part in self.short and part not in seen:
+                    seen.add(part)
+                    for number in self.short[part]:
+                        yield number, begin, begin + length, 0, max(0, length - Q + 1)
+
+    def _near(self, data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
         codes = _codes(data)
         at = np.flatnonzero(self.present[_slot(codes)])
         if not len(at):
@@ -185,7 +225,11 @@ def _indexes(
     listed = benchmark.select(
         F.col(item_column).cast("long").alias("_item"),
         F.col(item_text_column).cast("string").alias("_text"),
-    ).where("_item IS NOT NULL AND _text IS NOT NULL")
+    ).where("_text IS NOT NULL")
+    # Items without an id are searched too, unless an item with an id has their text.
+    named = listed.where("_item IS NOT NULL")
+    unnamed = listed.where("_item IS NULL").distinct().join(named.select("_text"), "_text", "left_anti")
+    listed = named.unionByName(unnamed)
     total = listed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     for block in range(blocks):
@@ -213,19 +257,20 @@ def contaminations(
 
     The filter counts shared q-grams in overlapping bands of diagonals and keeps a band
     only if it holds as many as the lemma demands of a match; the rest is aligned in the
-    band. Both are exact for the budget. Items of fewer than ``min_chars`` bytes are too
-    short to be evidence and are left out.
+    band. Both are exact for the budget. Items of fewer than ``min_chars`` bytes are
+    searched without edits, between word boundaries.
 
     Items are broadcast in blocks of about ``block_bytes`` of text, each searched in a pass
     of its own, so what is broadcast never grows with the tables. Null texts never match, nor do
-    null items; rows with a null id are searched like others. Repeated rows give repeated results, equal items one result each; an empty
+    items with a null text; rows with a null id are searched like others. An item with a null
+    id gives rows with a null ``item_column`` unless an item with an id has the same text. Repeated rows give repeated results, equal items one result each; an empty
     table gives no rows. Other columns are left out.
     """
     # Ids are text on the Python side, which would read a column with nulls as fractions.
     narrow = docs.select(
         F.col(id_column).cast("string").alias("_id"), F.col(text_column).cast("string").alias("_text")
     ).where("_text IS NOT NULL")
-    schema = "_id string, _item bigint, distance int, begin bigint, end bigint, shared int"
+    schema = "_id string, _item string, distance int, begin bigint, end bigint, shared int"
     results = []
     for shared in _indexes(benchmark, edit_rate, min_chars, block_bytes, item_column, item_text_column):
 
@@ -234,7 +279,7 @@ def contaminations(
             for batch in batches:
                 yield pd.DataFrame(
                     [
-                        (doc, index.ids[number], distance, begin, end, n)
+                        (doc, None if index.ids[number] is None else str(index.ids[number]), distance, begin, end, n)
                         for doc, text in zip(batch["_id"], batch["_text"], strict=True)
                         for number, begin, end, distance, n in index.matches(text)
                     ],
@@ -247,7 +292,7 @@ def contaminations(
         found = found.unionByName(more)
     return found.select(
         F.col("_id").cast("long").alias(id_column),
-        F.col("_item").alias(item_column),
+        F.col("_item").cast("long").alias(item_column),
         "distance",
         "begin",
         "end",

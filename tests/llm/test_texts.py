@@ -146,6 +146,21 @@ class TestDecontamination:
         items = [(10, self.ITEM), (11, "short"), (12, None), (None, self.ITEM)]
         assert self.found(spark, docs, items) == [(1, 10, 0), (1, 10, 0), (2, 10, 3), (6, 10, 0)]
 
+    def test_items_without_an_id_and_short_items(self, spark):
+        docs = [
+            (1, f"before {self.ITEM} after"),
+            (2, "Is it true?\n 2 + 2  = 4."),
+            (3, "it is 12 + 2 = 45, naïveté"),
+            (4, "NAÏVE"),
+        ]
+        items = [(None, self.ITEM), (None, self.ITEM), (11, "2 + 2 = 4"), (None, "naïve"), (12, " "), (None, None)]
+        benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+        found = decontaminate.contaminations(documents(spark, docs), benchmark, edit_rate=0.1).collect()
+        assert {(r.doc_id, r.item_id, r.distance) for r in found} == {(1, None, 0), (2, 11, 0), (4, None, 0)}
+        assert len(found) == 3
+        kept = decontaminate.drop_contaminated(documents(spark, docs), benchmark)
+        assert [r.doc_id for r in kept.collect()] == [3]
+
     def test_filter_keeps_clean_rows_whole(self, spark):
         docs = documents(spark, [(1, self.ITEM), (None, self.ITEM), (2, "clean text"), (3, None)])
         benchmark = spark.createDataFrame([(10, self.ITEM)], "item_id bigint, text string")
