@@ -179,10 +179,9 @@ def nearest(
     query's own id never is its neighbour. All rows of ``vectors`` are indexed; centres and
     rotation come from the ``sample`` rows with the smallest hash of the id.
 
-    Vectors that are null, zero, of another length than the first one of the sample, or
-    hold null or non-finite components take no part, nor do rows with a null id; a repeated
-    id counts once (its smallest vector). Empty tables give no rows; other columns are left
-    out.
+    Vectors that are null, zero, of another length than most of the others, or hold null or
+    non-finite components take no part, nor do rows with a null id; a repeated id counts
+    once (its smallest vector). Empty tables give no rows; other columns are left out.
 
     Equal vectors are one candidate: of each only the ``keep`` + 1 smallest ids can be
     among the nearest, so no more are expanded at the end; equal queries are searched once.
@@ -202,9 +201,14 @@ def nearest(
     schema = f"query_id bigint, rank int, {id_column} bigint, score double"
     if not picked:
         return spark.createDataFrame([], schema)
-    width = len(picked[0]["v"])
-    every = every.where(F.size("v") == width)
-    points = np.array([r["v"] for r in picked if len(r["v"]) == width])
+    # The width of most vectors, the larger of equally frequent ones.
+    widths = every.groupBy(F.size("v").alias("width")).count()
+    widths = widths.orderBy(F.desc("count"), F.desc("width")).limit(2).collect()
+    width = widths[0]["width"]
+    if len(widths) > 1:
+        every = every.where(F.size("v") == width)
+        picked = every.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+    points = np.array([r["v"] for r in picked])
     longest = float(np.sqrt(every.agg(F.max(length)).first()[0]))
     index = spark.sparkContext.broadcast(fit_lists(points, lists, longest))
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courtside.llm import lines, nearest, sharding, simhash, suffix
 from courtside.llm.graph import components
@@ -189,6 +190,14 @@ class TestNearest:
             assert [(r.score, r.vec_id) for r in found] == sorted(((r.score, r.vec_id) for r in found), key=lambda x: (-x[0], x[1]))
         assert hits >= 0.9 * 10 * len(by)
 
+    def test_width_is_that_of_most_vectors(self, spark):
+        """The row with the smallest hash is the malformed one."""
+        first = spark.range(100).orderBy(F.xxhash64("id"), "id").first().id
+        rows = [(i, [1.0] if i == first else [1.0, float(i)]) for i in range(100)]
+        frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+        out = nearest.nearest(frame, frame, keep=3, lists=4, probes=4).collect()
+        assert Counter(r.query_id for r in out) == {i: 3 for i in range(100) if i != first}
+
     def test_fewer_candidates_than_asked_for_and_empty(self, spark):
         schema = "vec_id bigint, embedding array<float>"
         few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], schema)
