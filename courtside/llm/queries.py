@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat, decontaminate, lines, nearest, packing, quality, sharding, simhash, suffix, urls
+from courtside.llm import (
+    bestfit,
+    chat,
+    decontaminate,
+    lines,
+    nearest,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    suffix,
+    urls,
+)
 from courtside.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,10 +39,10 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -299,3 +312,18 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_captures(captures, dated_list(pages)).select(
         "page_id", "pattern", "action", F.date_format("since", "yyyy-MM-dd").alias("since"), "blocked"
     )
+
+
+@query()
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in few sequences of at most 2,048 tokens, with checksums."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bestfit.best_fit(docs, tokenizer_path(WORD_TOKENIZER), size=2048, end_id=0).select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "sequence_id",
+        "offset",
+    )
