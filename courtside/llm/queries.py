@@ -19,6 +19,7 @@ from courtside.llm import (
     simhash,
     suffix,
     urls,
+    whitening,
 )
 from courtside.llm.common import table
 
@@ -327,3 +328,10 @@ def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding in the first 32 whitened components of all embeddings."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, components=32, grid=64, offset=1_000_000)

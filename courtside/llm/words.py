@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 _ID = "<u4"
 # Texts are encoded in slices of about so many bytes; a longer text is cut at white space.
-_SLICE = 16 << 20
+_SLICE = 8 << 20
 # A token of the vocabulary that ends a word ends in this.
 _WORD_END = "</w>"
 _BLANKS = " \n\t\r"
@@ -43,7 +43,7 @@ class WordEncoder:
 
     _made: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, memory: int = 1_000_000) -> None:
+    def __init__(self, path: str, memory: int = 800_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
