@@ -11,6 +11,7 @@ from courtside.llm import (
     bestfit,
     chat,
     decontaminate,
+    lexical,
     lines,
     nearest,
     packing,
@@ -335,3 +336,41 @@ def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every embedding in the first 32 whitened components of all embeddings."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return whitening.whiten(vectors, components=32, grid=64, offset=1_000_000)
+
+
+@query(
+    r"""
+    WITH texts AS (
+        SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents
+        UNION ALL SELECT 'q', row_number() OVER (), item_id, text FROM benchmark
+    ), terms AS (
+        SELECT kind, r, id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM texts
+    ), counts AS (
+        SELECT r, id, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY ALL
+    ), sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM counts GROUP BY r),
+    totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM sizes),
+    lengths AS (SELECT r, 10 + (90 * n * docs) // length AS m FROM sizes, totals),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM counts, totals GROUP BY term
+    ), wanted AS (SELECT DISTINCT r, id, term FROM terms WHERE kind = 'q'),
+    scored AS (
+        SELECT q.r AS item, q.id AS item_id, c.r AS doc, c.id AS doc_id,
+            sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM wanted q JOIN counts c USING (term) JOIN weights USING (term) JOIN lengths l ON l.r = c.r
+        GROUP BY ALL
+    ), ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank,
+            doc_id, score
+        FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """
+)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, folder, "benchmark").select("item_id", "text"), keep=10)
