@@ -140,6 +140,19 @@ def _rank_order(row: tuple[int, bool, object]) -> tuple:
     return row[0], row[1], 0 if row[1] else row[2]
 
 
+def _bucket(part: pa.RecordBatch, width: int) -> Bucket:
+    terms, impacts = part.column("_terms"), part.column("_impacts")
+    ends = terms.offsets.to_numpy()
+    return Bucket(
+        part.column("_id").to_pylist(),
+        ends.astype(np.int64) - int(ends[0]),
+        terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+        impacts.flatten().to_numpy(zero_copy_only=False),
+        part.column("_norm").to_numpy(zero_copy_only=False),
+        width,
+    )
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Bucket]:
     """Buckets of rows that come by falling norm."""
     for batch in batches:
@@ -150,17 +163,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Bucket]:
             short = np.flatnonzero(norms[at:end] < norms[at] / 2)
             if len(short):
                 end = min(end, at + max(int(short[0]), _SMALL_BUCKET))
-            part = batch.slice(at, end - at)
-            terms, impacts = part.column("_terms"), part.column("_impacts")
-            ends = terms.offsets.to_numpy()
-            yield Bucket(
-                part.column("_id").to_pylist(),
-                ends.astype(np.int64) - int(ends[0]),
-                terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
-                impacts.flatten().to_numpy(zero_copy_only=False),
-                norms[at:end],
-                width,
-            )
+            yield _bucket(batch.slice(at, end - at), width)
             at = end
 
 
@@ -276,11 +279,24 @@ def _search_block(docs: DataFrame, queries: Queries, keep: int, seeds: int) -> D
 
         return run
 
-    # What the longest vectors reach is a first bound for all partitions.
-    longest = vectors.orderBy(F.desc("_norm")).limit(seeds).coalesce(1)
-    longest = longest.sortWithinPartitions(F.desc("_norm")).mapInArrow(search({}), schema)
-    reached = longest.groupBy("_item").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    least = {r["_item"]: r["least"] for r in reached.where(F.col("n") >= keep).collect()}
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for at, batch in enumerate(batches):
+            if at == 0 and batch.num_rows:
+                norms = batch.column("_norm").to_numpy(zero_copy_only=False)
+                bucket = _bucket(batch.take(pa.array(np.argsort(-norms)[:seeds])), width)
+                for item, wanted in items:
+                    best = bucket.best(wanted, 1, keep)
+                    if len(best) == keep:
+                        rows.append((item, -best[-1][0]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())],
+            ["_item", "score"],
+        )
+
+    # What enough rows of one partition reach bounds the ranks of all partitions from below.
+    reached = vectors.mapInArrow(bounds, "_item bigint, score bigint")
+    least = dict(reached.groupBy("_item").agg(F.max("score")).collect())
     ordered = vectors.sortWithinPartitions(F.desc("_norm"))
     return ordered.mapInArrow(search(least), schema)
 
@@ -289,7 +305,7 @@ def search(
     docs: DataFrame,
     items: DataFrame,
     keep: int = 10,
-    seeds: int = 4096,
+    seeds: int = 1024,
     block_bytes: int = 4 << 20,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -309,9 +325,10 @@ def search(
     one pass over the texts; only counts of its terms are kept. Their impact vectors are
     ordered by length inside every partition and cut into buckets. For an item, a bucket
     falls by Cauchy-Schwarz, rows inside it by the bounds of single coordinates, and the
-    rows left are scored exactly. The ``seeds`` longest vectors, bounded by that parameter,
-    are searched first: their scores bound everyone's from below and leave out no row that
-    ranks. Nothing is shuffled but term counts and the best rows of each partition.
+    rows left are scored exactly. Before that, the ``seeds`` longest vectors of each
+    partition's first batch are searched: what ``keep`` of them reach bounds all ranks from
+    below and leaves out no row that ranks. Nothing is shuffled but term counts, those
+    bounds and the best rows of each partition.
 
     Null and empty texts have no terms: such documents neither rank nor count, such items
     give no rows. Null ids rank behind others of equal score. Repeated rows are documents,
