@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from courtside.catalogue import number, query
 from courtside.catalogue.text import SIMILARITY, distances_text, error_text
 from courtside.fixtures import PGTT, STORED, Views, with_views
-from courtside.functions.sqltext import CONDITION_CLASSES
+from courtside.functions.sqltext import CONDITION_CLASSES, classify_condition
 from courtside.operators import report, results
 from courtside.operators.corpus import judge_prompt as with_judge_prompt
 from courtside.plans.evaluation import evaluate
@@ -590,3 +590,132 @@ def evaluate_statements(v: Views) -> DataFrame:
     return scored.select(
         "gold_name", "kind", "gold_ok", "correct", "error_class", "dist", number("sim")
     )
+
+
+# -- statements with a limit, and in order ------------------------------------------
+# The first one ends in no reasonable time, whatever the tables hold; it is in one chunk
+# with a statement that fails and two that don't.
+TIMED_STATEMENTS = [
+    ("""SELECT sum((r.id * t.n) % 7) AS s FROM range(100000000000000) r
+CROSS JOIN (SELECT count(*) AS n FROM player_game_log) t""", "timeout_or_cancelled"),
+    ("SELECT CAST(concat('n', count(*)) AS int) AS n FROM player_game_log", "type_mismatch"),
+    ("SELECT team_id, count(*) AS games FROM player_game_log GROUP BY team_id", None),
+    ("SELECT player_id FROM player WHERE draft_round IS NULL", None),
+    ("SELECT nothing FROM player", "missing_column"),
+]
+
+
+def _timed_sql() -> str:
+    def line(i: int, text: str, label: str | None) -> str:
+        if label is not None:
+            return f"SELECT CAST({i} AS bigint), false, '{label}', CAST(0 AS bigint)"
+        return f"SELECT CAST({i} AS bigint), true, NULL, (SELECT count(*) FROM ({text}) q)"
+
+    lines = "\nUNION ALL ".join(line(i, *x) for i, x in enumerate(TIMED_STATEMENTS))
+    return (
+        with_views(*STORED)
+        + f"SELECT * FROM ({lines}) AS t(statement_id, ok, error_class, n_rows)"
+    )
+
+
+@query(_timed_sql())
+def statement_timeouts(v: Views) -> DataFrame:
+    """A statement over its limit is stopped alone; others of its chunk fail or finish."""
+    texts = [(i, text) for i, (text, _) in enumerate(TIMED_STATEMENTS)]
+    with stored_views(v):
+        rows, outcome = run_statements(v.spark, texts, chunk=4, seconds=12)
+    counts = rows.groupBy("statement_id").agg(F.count("*").alias("n_rows"))
+    return outcome.join(counts, "statement_id", "left").select(
+        "statement_id",
+        "ok",
+        F.when(~F.col("ok"), classify_condition("condition", F.col("unknown_qualifier")))
+        .alias("error_class"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
+
+
+# Name: statement without its order, and the keys of a total order.
+ORDERED_STATEMENTS = {
+    "scorers": (
+        "SELECT player_id, team_id, pts FROM player_season WHERE season_id = 21998",
+        ["pts DESC NULLS LAST", "player_id"],
+    ),
+    "busiest_clubs": (
+        """SELECT team_id, count(*) AS nights FROM player_game_log
+WHERE season_id = 21998 GROUP BY team_id""",
+        ["nights DESC NULLS LAST", "team_id"],
+    ),
+    "all_nights": (
+        "SELECT player_id, game_id, CAST(season_id AS bigint) AS season FROM player_game_log",
+        ["game_id", "player_id"],
+    ),
+    "colleges": ("SELECT player_id, college FROM player", ["player_id"]),
+    "nobody": ("SELECT player_id, college FROM player WHERE player_id < 0", ["player_id"]),
+}
+
+
+def _turned(keys: list[str]) -> list[str]:
+    head = keys[0].removesuffix(" DESC NULLS LAST")
+    return [head if head != keys[0] else f"{head} DESC NULLS LAST", *keys[1:]]
+
+
+def ordered_predictions() -> list[tuple[str, str, str, str]]:
+    """(gold name, kind, gold SQL, predicted SQL), all of them with an ORDER BY."""
+    rows = []
+    for name, (body, keys) in ORDERED_STATEMENTS.items():
+        order = ", ".join(keys)
+        first = body.removeprefix("SELECT ").split(",")[0]
+        made = {
+            "nested": f"SELECT * FROM ({body}) q ORDER BY {order}",
+            "turned": f"{body} ORDER BY {', '.join(_turned(keys))}",
+            "first_ten": f"{body} ORDER BY {order} LIMIT 10",
+            "as_decimal": body.replace(first, f"CAST({first} AS decimal(20, 2)) AS {first}", 1)
+            + f" ORDER BY {order}",
+        }
+        if "college" in body:
+            made["null_as_blank"] = body.replace(", college", ", coalesce(college, '') AS college") + (
+                f" ORDER BY {order}"
+            )
+        rows += [(name, kind, f"{body} ORDER BY {order}", pred) for kind, pred in made.items()]
+    return rows
+
+
+def _ordered_sql() -> str:
+    """Rows numbered by explicit windows over the keys, then compared as bags."""
+    lines = []
+    for name, kind, _, _ in ordered_predictions():
+        body, keys = ORDERED_STATEMENTS[name]
+        order = ", ".join(keys)
+
+        def numbered(body: str, order: str, most: str = "") -> str:
+            return (
+                f"SELECT * FROM (SELECT row_number() OVER (ORDER BY {order}) AS pos, q.* "
+                f"FROM ({body}) q) n {most}"
+            )
+
+        gold = numbered(body, order)
+        pred = {
+            "turned": lambda b=body, k=keys: numbered(b, ", ".join(_turned(k))),
+            "first_ten": lambda b=body, o=order: numbered(b, o, "WHERE pos <= 10"),
+            "null_as_blank": lambda b=body, o=order: numbered(
+                b.replace(", college", ", coalesce(college, '') AS college"), o
+            ),
+        }.get(kind, lambda b=body, o=order: numbered(b, o))()
+        sides = [f"({gold})", f"({pred})"]
+        both = f"({' EXCEPT ALL '.join(sides)}) UNION ALL ({' EXCEPT ALL '.join(sides[::-1])})"
+        lines.append(
+            f"SELECT '{name}' AS gold_name, '{kind}' AS kind, true AS gold_ok, "
+            f"CAST((SELECT count(*) FROM ({both}) d) = 0 AS int) AS correct"
+        )
+    return with_views(*STORED) + "\nUNION ALL ".join(lines)
+
+
+@query(_ordered_sql())
+def evaluate_ordered(v: Views) -> DataFrame:
+    """Predictions that must give the gold statement's rows in its order."""
+    examples = v.spark.createDataFrame(
+        ordered_predictions(), "gold_name string, kind string, gold_sql string, pred_sql string"
+    )
+    with stored_views(v):
+        scored = evaluate(v.spark, examples, ordered=True)
+    return scored.select("gold_name", "kind", "gold_ok", "correct")

@@ -316,6 +316,8 @@ CONDITION_CLASSES = {
     "INSUFFICIENT_TABLE_PRIVILEGE": "permission_error",
     "OPERATION_CANCELED": "timeout_or_cancelled",
     "JOB_CANCELLED": "timeout_or_cancelled",
+    "SPARK_JOB_CANCELLED": "timeout_or_cancelled",
+    "STATEMENT_TIMEOUT": "timeout_or_cancelled",
 }
 
 

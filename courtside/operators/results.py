@@ -35,6 +35,27 @@ def exact_row(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("string") for c in names]).cast("array<string>")
 
 
+def value_row(df: DataFrame) -> Column:
+    """A row's values as they are, as text: missing ones as NULL, texts not stripped.
+
+    Equal numbers have equal texts whatever their type, ``1``, ``1.00`` and ``1.0`` alike.
+    """
+
+    def text(name: str) -> Column:
+        column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(kind, T.DecimalType):
+            shorter = F.regexp_replace(column.cast("string"), r"(\.\d*?)0+$", "$1")
+            return F.regexp_replace(shorter, r"\.$", "")
+        if isinstance(kind, T.DoubleType | T.FloatType):
+            whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
+            return F.when(whole, column.cast("decimal(20,0)").cast("string")).otherwise(
+                column.cast("string")
+            )
+        return column.cast("string")
+
+    return F.array(*[text(c) for c in df.columns]).cast("array<string>")
+
+
 def normalise_rows(
     df: DataFrame, keep: Sequence[str] = (), columns: Sequence[str] | None = None
 ) -> DataFrame:
@@ -74,25 +95,28 @@ def compare_ordered(long_df: DataFrame, examples: DataFrame | None = None) -> Da
     return _verdicts(_signed_counts(long_df, ["pos", "row"]), examples)
 
 
-def with_positions(sorted_df: DataFrame, name: str = "pos") -> DataFrame:
-    """Number the rows of a sorted, pinned result 1..n.
+def gapless_positions(
+    rows: DataFrame, by: Sequence[str] = (), name: str = "pos"
+) -> DataFrame:
+    """Replace row ids in ``name`` by 1..n in their order, for each value of ``by``.
 
-    ``sorted_df`` must be a checkpoint (see ``session.pin``): its partitions are read
-    twice, for their sizes and for the rows. The offsets have one row per partition.
+    ``rows`` must be stored: they are read twice, for the rows under each partition number
+    that the ids hold, and for themselves. Nothing sorts or gathers them; the offsets have
+    one row per partition of the job that gave the ids.
     """
-    numbered = sorted_df.withColumn("_row", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("_part", F.shiftright("_row", 33))
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.withColumn("_part", F.shiftright(name, 33))
+    counts = marked.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min(name).alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    index = F.col("_row") - F.shiftleft(F.col("_part"), 33)
-    return (
-        numbered.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + index + 1)
-        .drop("_row", "_part", "_before")
+        *by, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    place = F.col("_before") + F.col(name) - F.col("_first") + 1
+    return marked.join(offsets, [*by, "_part"]).withColumn(name, place).drop("_part", "_first", "_before")
+
+
+def with_positions(sorted_df: DataFrame, name: str = "pos") -> DataFrame:
+    """Number the rows of a sorted, pinned result 1..n (see ``session.pin``)."""
+    return gapless_positions(sorted_df.withColumn(name, F.monotonically_increasing_id()), (), name)
 
 
 def result_preview(

@@ -13,8 +13,14 @@ from courtside.functions.sqltext import (
     token_distance,
     token_similarity,
 )
-from courtside.operators.results import GOLD, PRED, compare_results
-from courtside.plans.statements import run_statements
+from courtside.operators.results import (
+    GOLD,
+    PRED,
+    compare_ordered,
+    compare_results,
+    gapless_positions,
+)
+from courtside.plans.statements import ordered_rows, run_statements
 from courtside.session import broadcast_if_small, pin, spread
 
 
@@ -38,7 +44,13 @@ def _texts(statements: DataFrame) -> Iterator[tuple[int, str]]:
         yield row.statement_id, row.sql
 
 
-def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 20) -> DataFrame:
+def execute_pairs(
+    spark: SparkSession,
+    pairs: DataFrame,
+    chunk: int = 20,
+    ordered: bool = False,
+    seconds: float | None = None,
+) -> DataFrame:
     """Run and compare distinct ``(gold_sql, pred_sql)`` pairs with a ``pair_id``.
 
     ``pairs`` must be pinned. Adds ``gold_ok``, ``pred_err`` (empty if it ran),
@@ -48,7 +60,10 @@ def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 20) -> Dat
     texts = pairs.select(F.explode(F.array("gold_sql", "pred_sql")).alias("sql"))
     distinct = texts.groupBy(_text_key("sql").alias("_key")).agg(F.first("sql").alias("sql"))
     statements = pin(distinct.withColumn("statement_id", F.monotonically_increasing_id()))
-    rows, outcomes = run_statements(spark, _texts(statements), chunk)
+    shape = {"shape": ordered_rows} if ordered else {}
+    rows, outcomes = run_statements(spark, _texts(statements), chunk, seconds=seconds, **shape)
+    if ordered:
+        rows = gapless_positions(rows, ["statement_id"])
     error_class = classify_condition("condition", F.col("unknown_qualifier"))
     known = statements.join(outcomes, "statement_id").select(
         "statement_id", "_key", "ok", "message", error_class.alias("error_class")
@@ -83,7 +98,8 @@ def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 20) -> Dat
     # Broadcast, the pairs meet the rows where these are read, and equal rows are
     # counted there before anything is shuffled.
     sides = broadcast_if_small(sides)
-    equal = compare_results(rows.join(sides, "statement_id"), ran)
+    compare = compare_ordered if ordered else compare_results
+    equal = compare(rows.join(sides, "statement_id"), ran)
     equal = equal.withColumnRenamed("example_id", "pair_id")
     correct = F.when(~both_ran, 0).when(same, 1).otherwise(F.coalesce("correct", F.lit(0)))
     return judged.join(equal, "pair_id", "left").select(
@@ -91,20 +107,30 @@ def execute_pairs(spark: SparkSession, pairs: DataFrame, chunk: int = 20) -> Dat
     )
 
 
-def evaluate(spark: SparkSession, examples: DataFrame, chunk: int = 20) -> DataFrame:
+def evaluate(
+    spark: SparkSession,
+    examples: DataFrame,
+    chunk: int = 20,
+    ordered: bool = False,
+    seconds: float | None = None,
+) -> DataFrame:
     """Outcome rows for ``report``: examples with distances and execution results.
 
     ``examples`` has ``gold_sql`` and ``pred_sql``, and any of ``difficulty`` and
     ``verdict``; other columns are kept. Pairs that occur many times are measured and
     run once. A NULL text is a failed statement: without its gold an example doesn't
     count, without its prediction it counts as failed.
+
+    Results are equal as bags of stripped texts, or, if ``ordered``, row by row as they
+    are; a result is in the order of its statement's own ORDER BY. ``seconds`` limits every
+    statement (see ``run_statements``).
     """
     defaults = {"difficulty": F.lit("unknown"), "verdict": F.lit(None).cast("string")}
     missing = {c: v for c, v in defaults.items() if c not in examples.columns}
     full = examples.withColumns(missing) if missing else examples
     distinct = full.select("gold_sql", "pred_sql").distinct()
     pairs = pin(distinct.withColumn("pair_id", F.monotonically_increasing_id()))
-    executed = execute_pairs(spark, pairs, chunk).drop("gold_sql", "pred_sql")
+    executed = execute_pairs(spark, pairs, chunk, ordered, seconds).drop("gold_sql", "pred_sql")
     scored = with_distances(spread(pairs)).join(executed, "pair_id")
     texts = ["gold_sql", "pred_sql"]
     known = scored.select(

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.operators.results import exact_row, row_array
+from courtside.operators.results import exact_row, row_array, value_row
 from courtside.session import scratch_path
 
 ROWS_SCHEMA = "statement_id bigint, pos bigint, row array<string>"
@@ -21,6 +25,10 @@ OUTCOME_SCHEMA = (
 )
 
 
+# The condition of a statement that ran out of time.
+TIMEOUT = "STATEMENT_TIMEOUT"
+
+
 @dataclass(frozen=True)
 class Outcome:
     """What became of one statement; ``df`` is None when it failed."""
@@ -114,69 +122,172 @@ def first_rows(max_rows: int) -> Callable[[int, DataFrame], DataFrame]:
     return shape
 
 
+def ordered_rows(statement_id: int, df: DataFrame) -> DataFrame:
+    """A shape that keeps the order: ``pos`` grows with it, though with gaps.
+
+    A sorted result is sorted across its partitions, and row ids grow with both, so no
+    single partition has to see all rows. ``results.gapless_positions`` closes the gaps.
+    """
+    renamed = _numbered_columns(df)
+    return _shaped(statement_id, renamed, F.monotonically_increasing_id(), value_row(renamed))
+
+
+class _Deadline:
+    """Stops the jobs that the current thread starts once ``seconds`` have passed.
+
+    ``expired`` tells whether they have. Jobs are known by a tag, so those of other
+    threads go on. A job that begins after the time is stopped as well.
+    """
+
+    def __init__(self, spark: SparkSession, seconds: float | None) -> None:
+        self.context, self.seconds = spark.sparkContext, seconds
+        self.tag = f"statements-{uuid.uuid4().hex}"
+        self.done = threading.Event()
+        self.expired = False
+        self.watcher: threading.Thread | None = None
+
+    def _watch(self) -> None:
+        if self.done.wait(self.seconds):
+            return
+        self.expired = True
+        while not self.done.is_set():
+            self.context.cancelJobsWithTag(self.tag)
+            self.done.wait(0.2)
+
+    def __enter__(self) -> _Deadline:
+        if self.seconds is not None:
+            self.context.addJobTag(self.tag)
+            # Tasks end as well, not only the job that waits for them.
+            self.context.setInterruptOnCancel(True)
+            self.watcher = threading.Thread(target=self._watch, daemon=True)
+            self.watcher.start()
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        if self.watcher is not None:
+            self.done.set()
+            self.watcher.join()
+            self.context.removeJobTag(self.tag)
+
+
+@dataclass
+class _Store:
+    """Where the rows and outcomes of chunks go: a folder each, named by the driver.
+
+    Chunks are stored side by side, and one that fails may leave files behind; only the
+    folders of jobs that ended well are read.
+    """
+
+    spark: SparkSession
+    path: str
+    seconds: float | None
+    rows: list[str] = field(default_factory=list)
+    outcomes: list[str] = field(default_factory=list)
+
+    def _fresh(self, kind: str) -> str:
+        return f"{self.path}/{kind}/{uuid.uuid4().hex}"
+
+    def tell(self, outcomes: list[tuple]) -> None:
+        if outcomes:
+            folder = self._fresh("outcomes")
+            frame = self.spark.createDataFrame(outcomes, OUTCOME_SCHEMA).coalesce(1)
+            frame.write.parquet(folder)
+            self.outcomes.append(folder)
+
+    def _run(self, batch: list[Waiting]) -> list[tuple]:
+        """Store the rows of a batch in one job, or find out which statements fail."""
+        folder = self._fresh("rows")
+        deadline = _Deadline(self.spark, self.seconds)
+        try:
+            with deadline:
+                reduce(DataFrame.unionByName, [w.rows for w in batch]).write.parquet(folder)
+        except Exception as error:  # noqa: BLE001 - a run-time error of some statement
+            if len(batch) > 1:
+                # Out of time, each gets its own; else halves tell good from bad quickly.
+                half = len(batch) // 2
+                parts = [[w] for w in batch] if deadline.expired else [batch[:half], batch[half:]]
+                return [row for part in parts for row in self._run(part)]
+            if deadline.expired:
+                told = (TIMEOUT, f"canceling statement due to its limit of {self.seconds} s")
+            else:
+                told = _failure(error)
+            return [_failed(batch[0].statement_id, batch[0].sql, *told)]
+        self.rows.append(folder)
+        return [(w.statement_id, True, "", "", False, w.columns) for w in batch]
+
+    def run(self, batch: list[Waiting], pool: str) -> None:
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        self.tell(self._run(batch))
+
+    def read(self, folders: list[str], schema: str) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders)
+
+
+def _failed(statement_id: int, sql: str | None, condition: str, message: str) -> tuple:
+    bad_name = sql is not None and unknown_qualifier(sql, condition, message)
+    return statement_id, False, condition, message, bad_name, []
+
+
 def run_statements(
     spark: SparkSession,
     statements: Iterable[tuple[int, str | None]],
     chunk: int = 20,
     shape: Callable[[int, DataFrame], DataFrame] = _result_rows,
+    at_once: int = 4,
+    seconds: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run many queries: ``(rows, outcomes)``.
 
     ``rows`` is ``(statement_id, pos, row)``, by default all rows in comparable text form
     without positions. ``shape`` makes them from a statement's result. They are written by
-    Spark to the shared folder, a chunk of statements per job so that plans stay small. A chunk that
-    fails while running is halved until the failing statements stand alone. Outcomes are
-    written with their chunk too, so the driver holds those of one chunk only.
-    """
-    path, told = scratch_path(spark, "statement-rows"), scratch_path(spark, "statement-outcomes")
-    spark.createDataFrame([], ROWS_SCHEMA).write.parquet(path)
-    spark.createDataFrame([], OUTCOME_SCHEMA).write.parquet(told)
-    outcomes: list[tuple] = []
-
-    def tell() -> None:
-        if outcomes:
-            frame = spark.createDataFrame(outcomes, OUTCOME_SCHEMA).coalesce(1)
-            frame.write.mode("append").parquet(told)
-            outcomes.clear()
+    Spark to the shared folder, a chunk of statements per job so that plans stay small, and
+    ``at_once`` chunks side by side (in scheduler pools of their own, where the session's
+    scheduler is fair). A chunk that fails while running is halved until the failing
+    statements stand alone.
 
-    def fail(statement_id: int, sql: str | None, condition: str, message: str) -> None:
-        bad_name = sql is not None and unknown_qualifier(sql, condition, message)
-        outcomes.append((statement_id, False, condition, message, bad_name, []))
-
-    def store(batch: list[Waiting]) -> None:
-        rows = reduce(DataFrame.unionByName, [w.rows for w in batch])
-        rows.write.mode("append").parquet(path)
-        outcomes.extend((w.statement_id, True, "", "", False, w.columns) for w in batch)
-
-    def flush(batch: list[Waiting]) -> None:
-        try:
-            store(batch)
-        except Exception as error:  # noqa: BLE001 - a run-time error of some statement
-            if len(batch) == 1:
-                fail(batch[0].statement_id, batch[0].sql, *_failure(error))
-                return
-            half = len(batch) // 2
-            flush(batch[:half])
-            flush(batch[half:])
+    With ``seconds``, a chunk that takes longer is stopped, and its statements run one by
+    one; a statement that takes longer by itself fails with the condition ``TIMEOUT``.
+    The others of its chunk finish, and chunks beside it go on.
 
+    Outcomes are written with their chunk, so the driver holds the texts and outcomes of
+    ``at_once`` running and as many waiting chunks at most.
+    """
+    store = _Store(spark, scratch_path(spark, "statements"), seconds)
+    failures: list[tuple] = []
+    running: set[Future] = set()
     waiting: list[Waiting] = []
-    for statement_id, sql in statements:
-        outcome = run_sql(spark, sql)
-        if not outcome.ok:
-            fail(statement_id, sql, outcome.condition, outcome.message)
-            if len(outcomes) >= chunk:
-                tell()
-            continue
-        rows = shape(statement_id, outcome.df)
-        waiting.append(Waiting(statement_id, sql, outcome.df.columns, rows))
-        if len(waiting) == chunk:
-            flush(waiting)
-            tell()
-            waiting = []
-    if waiting:
-        flush(waiting)
-    tell()
-    rows = spark.read.schema(ROWS_SCHEMA).parquet(path)
-    return rows, spark.read.schema(OUTCOME_SCHEMA).parquet(told)
-
-
+    started = 0
+
+    with ThreadPoolExecutor(max_workers=at_once) as threads:
+
+        def start() -> None:
+            nonlocal running, started
+            target = inheritable_thread_target(spark)(store.run)
+            running.add(threads.submit(target, list(waiting), f"statements-{started % at_once}"))
+            started += 1
+            waiting.clear()
+            if len(running) >= 2 * at_once:
+                ended, running = wait(running, return_when=FIRST_COMPLETED)
+                for future in ended:
+                    future.result()
+
+        for statement_id, sql in statements:
+            outcome = run_sql(spark, sql)
+            if not outcome.ok:
+                failures.append(_failed(statement_id, sql, outcome.condition, outcome.message))
+                if len(failures) >= chunk:
+                    store.tell(failures)
+                    failures.clear()
+                continue
+            rows = shape(statement_id, outcome.df)
+            waiting.append(Waiting(statement_id, sql, outcome.df.columns, rows))
+            if len(waiting) == chunk:
+                start()
+        if waiting:
+            start()
+        store.tell(failures)
+        for future in running:
+            future.result()
+    return store.read(store.rows, ROWS_SCHEMA), store.read(store.outcomes, OUTCOME_SCHEMA)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from courtside.catalogue import QUERIES
 from courtside.catalogue.evaluation import stored_views
 from courtside.fixtures import Views
 from courtside.operators import keys, stats
@@ -12,6 +13,7 @@ from courtside.operators import keys, stats
 EAGER = {
     "run_sql_safe", "evaluate_statements", "load_order", "csv_scan", "corpus_scan",
     "corpus_sink", "summary_sink", "replace_all", "season_increment", "batch_predict",
+    "statement_timeouts", "evaluate_ordered",
 }
 
 
@@ -19,7 +21,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_python_and_no_cross_product(name, spark, folder):
     text = plan(driver.queries()[name](spark, folder))
     for node in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct"):

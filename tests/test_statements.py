@@ -1,9 +1,11 @@
+import time
+
 import pytest
 
 from courtside.catalogue.evaluation import GOLD_STATEMENTS
 from courtside.plans.ask import ask
 from courtside.plans.evaluation import evaluate
-from courtside.plans.statements import run_sql, run_statements, unknown_qualifier
+from courtside.plans.statements import TIMEOUT, run_sql, run_statements, unknown_qualifier
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +120,65 @@ def test_null_statements_are_failures(spark, table):
     assert [got[i].gold_ok for i in range(4)] == [True, False, False, True]
     assert [got[i].correct for i in range(4)] == [0, 0, 0, 1]
     assert got[0].pred_err and got[0].dist == 4 and got[3].dist == 0
+
+
+SLOW = "SELECT sum((r.id * t.n) % 7) AS s FROM range(100000000000000) r CROSS JOIN (SELECT count(*) AS n FROM things) t"
+
+
+def test_a_slow_statement_fails_alone(spark, table):
+    """A slow and a failing statement beside two good ones, in one chunk and in several."""
+    texts = ["SELECT k FROM things", SLOW, "SELECT CAST(v AS int) FROM things", "SELECT v FROM things"]
+    for chunk in (4, 2):
+        begun = time.monotonic()
+        rows, outcomes = run_statements(spark, list(enumerate(texts)), chunk=chunk, seconds=8)
+        assert time.monotonic() - begun < 60
+        by_id = {r.statement_id: r for r in outcomes.collect()}
+        assert [by_id[i].ok for i in range(4)] == [True, False, False, True]
+        assert by_id[1].condition == TIMEOUT and by_id[2].condition == "CAST_INVALID_INPUT"
+        assert sorted((r.statement_id, *r.row) for r in rows.collect()) == [
+            (0, "1"), (0, "1"), (0, "2"), (3, ""), (3, "a"), (3, "a"),
+        ]
+    # No job of a stopped statement goes on, and other jobs have no limit.
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert not spark.sparkContext.getJobTags()
+
+
+def test_chunks_run_side_by_side_and_keep_their_outcomes(spark, table):
+    texts = [
+        "SELECT k FROM things WHERE k = %d" % (i % 3) if i % 5 else f"SELECT no_{i} FROM things"
+        for i in range(47)
+    ]
+    for at_once in (1, 3):
+        rows, outcomes = run_statements(spark, list(enumerate(texts)), chunk=4, at_once=at_once)
+        found = {r.statement_id: r.ok for r in outcomes.collect()}
+        assert found == {i: bool(i % 5) for i in range(47)}
+        assert rows.count() == sum({0: 0, 1: 2, 2: 1}[i % 3] for i in range(47) if i % 5)
+
+
+def test_no_statements(spark):
+    rows, outcomes = run_statements(spark, [])
+    assert rows.count() == 0 and outcomes.count() == 0
+
+
+def test_ordered_evaluation(spark, table):
+    spark.range(0, 5000, numPartitions=7).createOrReplaceTempView("numbers")
+    gold = "SELECT id, id % 10 AS d FROM numbers ORDER BY d, id"
+    pairs = {
+        "same": (gold, "SELECT id, d FROM (SELECT id, id % 10 AS d FROM numbers) ORDER BY d, id"),
+        "turned": (gold, "SELECT id, id % 10 AS d FROM numbers ORDER BY d DESC, id"),
+        "swapped": (gold, "SELECT id, d FROM (SELECT id, id % 10 AS d FROM numbers) "
+                    "ORDER BY d, CASE id WHEN 8 THEN 18 WHEN 18 THEN 8 ELSE id END"),
+        "shorter": (gold, gold + " LIMIT 4999"),
+        "other_type": (gold, "SELECT CAST(id AS decimal(20,3)), CAST(id % 10 AS double) AS d FROM numbers ORDER BY d, id"),
+        "null_is_not_blank": ("SELECT v FROM things ORDER BY v, k", "SELECT coalesce(v, '') AS v FROM things ORDER BY v, k"),
+        "blanks_count": ("SELECT 'a' AS v", "SELECT 'a ' AS v"),
+        "both_empty": ("SELECT k FROM things WHERE k > 5 ORDER BY k", "SELECT v FROM things WHERE k > 6 ORDER BY k"),
+    }
+    examples = spark.createDataFrame(
+        [(n, g, p) for n, (g, p) in pairs.items()], "name string, gold_sql string, pred_sql string"
+    )
+    got = {r.name: r.correct for r in evaluate(spark, examples, ordered=True).collect()}
+    assert got == {n: int(n in ("same", "other_type", "both_empty")) for n in pairs}
+    bags = {r.name: r.correct for r in evaluate(spark, examples).collect()}
+    assert [bags[n] for n in ("turned", "swapped", "null_is_not_blank", "blanks_count")] == [1, 1, 1, 1]
+    spark.catalog.dropTempView("numbers")
