@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.catalogue import number, query
-from courtside.fixtures import ARRIVAL, Views, with_views
+from courtside.fixtures import ARRIVAL, PGTT, Views, with_views
 from courtside.operators import integrity as checks
 from courtside.operators import keys as k
 from courtside.plans.warehouse import SeasonInputs, apply_season
@@ -232,18 +234,27 @@ def surrogate_id(v: Views) -> DataFrame:
     return k.with_surrogate_id(v["player_season"].select(*keys), keys)
 
 
-# One season (1998-99) applied to a store that already holds it with other points and
-# all seasons before it.
+# One season (1998-99) applied to a store that holds it in part, with other points, and
+# the seasons before it.
 _LOG_ROWS = """SELECT player_id, game_id, season_id, CAST(pts AS double) AS pts FROM {}"""
 
 
-def _season_feed(v: Views, table: str) -> DataFrame:
+def _season_feed(v: Views, table: str, **changed: Column) -> DataFrame:
     """Rows of season 21998 under the feed's column names, with an arrival order."""
-    rows = v[table].filter(F.col("season_id") == 21998)
-    renamed = {"game_id": "GAME_ID" if table != "raw_game_log" else "Game_ID"}
+    rows = v[table]
+    if "season_id" in rows.columns:
+        rows = rows.filter(F.col("season_id") == 21998)
+    rows = rows.withColumns(changed) if changed else rows
+    renamed = {
+        "game_id": "GAME_ID" if table != "raw_game_log" else "Game_ID",
+        "team_id_home_id": "TEAM_ID",
+        "date": "GAME_DATE",
+        "event_num": "EVENTNUM",
+        "event_msg_type_id": "EVENTMSGTYPE",
+    }
     return rows.select(
         *[F.col(c).alias(renamed.get(c, c.upper())) for c in rows.columns if c not in ARRIVAL],
-        # Statistics hold one row per key, so any order is theirs.
+        # These hold one row per key, so any order is theirs.
         *[F.col(c) if c in rows.columns else F.lit(0).alias(c) for c in ARRIVAL],
     )
 
@@ -261,48 +272,93 @@ def _typed(df: DataFrame, table: str) -> DataFrame:
 
 @query(
     with_views(
+        "player",
+        "game",
         "player_game_log",
         "player_season",
+        PGTT,
+        "play_by_play",
         before="SELECT * FROM player_game_log WHERE season_id <= 21998 AND pts > 10",
         after=f"""{_LOG_ROWS.format("before")} UNION ALL
       {_LOG_ROWS.format("player_game_log")} p WHERE season_id = 21998 AND NOT EXISTS (
         SELECT 1 FROM before b WHERE b.player_id = p.player_id AND b.game_id = p.game_id)""",
+        events="""SELECT event_num, period FROM play_by_play
+      WHERE game_id IN (SELECT game_id FROM game WHERE season_id = 21998)""",
     )
-    + """SELECT 'player_game_log' AS table_name, season_id, CAST(count(*) AS bigint) AS n,
-  round(sum(pts), 4) AS pts FROM after GROUP BY season_id
-UNION ALL SELECT 'player_season', season_id, CAST(count(*) AS bigint),
-  round(sum(round(CAST(CASE WHEN season_id = 21998 THEN pts ELSE pts + 1 END AS double), 4)), 2)
-FROM player_season WHERE season_id <= 21998 GROUP BY season_id"""
+    + f"""SELECT 'player' AS table_name, CAST(NULL AS int) AS season_id, CAST(count(*) AS bigint) AS n,
+  CAST(count(*) FILTER (WHERE draft_round IS NULL) AS double) AS total FROM player
+UNION ALL SELECT 'game', season_id, CAST(count(*) AS bigint), 0 FROM game
+  WHERE season_id <= 21998 GROUP BY season_id
+UNION ALL SELECT 'player_game_log', season_id, CAST(count(*) AS bigint), round(sum(pts), 2)
+  FROM after GROUP BY season_id
+UNION ALL SELECT 'player_season', season_id, CAST(count(*) AS bigint), round(sum(round(CAST(
+  CASE WHEN season_id < 21998 THEN pts + 1 WHEN player_id % 3 = 0 THEN pts + 5 ELSE pts END
+  AS double), 4)), 2) FROM player_season WHERE season_id <= 21998 GROUP BY season_id
+UNION ALL SELECT '{PGTT}', season_id, CAST(count(*) AS bigint), round(sum(CAST(
+  CASE WHEN season_id < 21998 THEN pts + 1 ELSE pts END AS double)), 2)
+  FROM {PGTT} WHERE season_id <= 21998 GROUP BY season_id
+UNION ALL SELECT 'play_by_play', NULL, CAST(count(*) AS bigint), CAST(sum(event_num) AS double)
+  FROM (SELECT event_num FROM events UNION ALL SELECT event_num FROM events WHERE period = 1) e"""
 )
 def season_increment(v: Views) -> DataFrame:
+    """All six tables of a season: rows and a total per season after it was applied.
+
+    Players and games already stored keep their rows, every third player's statistics come
+    twice (the later row counts), logs stored before win, and events of the first period
+    that were stored before are there twice.
+    """
+    known = v["player"].filter(F.col("draft_round").isNotNull())
     stored_log = v["player_game_log"].filter((F.col("season_id") <= 21998) & (F.col("pts") > 10))
-    stored_season = v["player_season"].filter(F.col("season_id") <= 21998)
+    plus_one = {"pts": F.col("pts") + 1}
+
+    def older(name: str) -> DataFrame:
+        return v[name].filter(F.col("season_id") <= 21998)
+
+    games = v["game"].filter(F.col("season_id") == 21998).select("game_id")
+    events = v["play_by_play"].drop("player1_id").join(games, "game_id", "left_semi")
     state = {
-        "player": _typed(v["player"], "player"),
-        "game": _typed(v["game"], "game"),
+        "event_message_type": v["event_message_type"],
+        "player": _typed(known, "player"),
+        "game": _typed(v["game"].filter(F.col("season_id") < 21998), "game"),
         "team": v["team"],
         "player_game_log": _typed(stored_log, "player_game_log"),
-        "player_season": _typed(
-            stored_season.withColumn("pts", F.col("pts") + 1), "player_season"
-        ),
+        "player_season": _typed(older("player_season").withColumns(plus_one), "player_season"),
+        PGTT: _typed(older(PGTT).withColumns(plus_one), PGTT),
+        "play_by_play": _typed(events.filter("period = 1"), "play_by_play"),
     }
+    late = _season_feed(v, "player_season", pts=F.col("pts") + 5).filter("PLAYER_ID % 3 = 0")
     inputs = SeasonInputs(
         "1998-99",
         ARRIVAL,
-        player_season=_season_feed(v, "player_season"),
+        players=_season_feed(v, "player", player_name=F.concat("player_name", F.lit("!"))),
+        games=_season_feed(v, "game"),
+        player_season=_season_feed(v, "player_season").unionByName(
+            late.withColumn(ARRIVAL[0], F.lit(1))
+        ),
+        totals=_season_feed(v, PGTT),
         game_log=_season_feed(v, "raw_game_log"),
+        play_by_play=_season_feed(v, "play_by_play").drop("PLAYER1_ID"),
     )
     after, _ = apply_season(state, inputs)
 
-    def totals(name: str, places: int, pts: Column) -> DataFrame:
-        grouped = after[name].groupBy("season_id")
+    def totals(name: str, total: Column, season: Column | None = None) -> DataFrame:
+        by = F.lit(None).cast("int") if season is None else season
+        grouped = after[name].groupBy(by.alias("season_id"))
         return grouped.agg(
-            F.count("*").alias("n"), F.round(F.sum(pts), places).alias("pts")
-        ).select(F.lit(name).alias("table_name"), "season_id", "n", "pts")
-
-    points = F.col("pts").cast("double")
-    return totals("player_game_log", 4, points).unionByName(
-        totals("player_season", 2, F.round(points, 4))
+            F.count("*").alias("n"), F.round(total.cast("double"), 2).alias("total")
+        ).select(F.lit(name).alias("table_name"), "season_id", "n", "total")
+
+    points, season = F.col("pts").cast("double"), F.col("season_id")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            totals("player", F.count_if(F.col("player_name").endswith("!"))),
+            totals("game", F.lit(0), season),
+            totals("player_game_log", F.sum(points), season),
+            totals("player_season", F.sum(F.round(points, 4)), season),
+            totals(PGTT, F.sum(points), season),
+            totals("play_by_play", F.sum("event_num")),
+        ],
     )
 
 

@@ -172,3 +172,14 @@ def with_surrogate_id(
         .withColumn(name, (F.col("_before") + F.col("_rn")).cast("bigint"))
         .drop("_hash", "_bucket", "_rn", "_before")
     )
+
+
+def allocate_ids(
+    rows: DataFrame, keys: Sequence[str], above: int = 0, name: str = "id"
+) -> DataFrame:
+    """Row ids ``above + 1, above + 2, ...`` in hash order of ``keys`` (see above).
+
+    ``rows`` must be pinned: they are read twice. Rows with equal keys get ids of their own.
+    """
+    numbered = with_surrogate_id(rows, keys, name)
+    return numbered.withColumn(name, F.col(name) + F.lit(above).cast("bigint"))

@@ -1,18 +1,19 @@
 """Building the warehouse: a folder of CSV files at once, or feeds season by season.
 
 Tables are Parquet folders under one root. Tables with a season are partitioned by it,
-so a season query reads its own partition and a season's upsert rewrites only that.
+so a season query reads its own partition and a season's upsert rewrites only that. Season
+by season, a warehouse is stored in versions (see ``versions``): a season counts whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from courtside.functions.cleaning import season_to_int
 from courtside.operators.integrity import (
@@ -24,7 +25,14 @@ from courtside.operators.integrity import (
     split,
     split_valid_batches,
 )
-from courtside.operators.keys import OrderCols, fresh_rows, insert_ignore, upsert
+from courtside.operators.keys import (
+    OrderCols,
+    batch_conflicts,
+    fresh_rows,
+    insert_ignore,
+    upsert,
+)
+from courtside.plans.versions import SEASON, Draft
 from courtside.schemas import LOAD_ORDER, TABLES, TableSpec
 from courtside.session import pin, scratch_path
 from courtside.sources.dims import event_message_types
@@ -39,7 +47,6 @@ from courtside.sources.feeds import (
 )
 from courtside.sources.files import ARRIVAL, read_table_csv
 
-SEASON = "season_id"
 TOTALS = "player_general_traditional_total"
 
 
@@ -47,10 +54,6 @@ def empty_table(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return spark.createDataFrame([], spec.schema)
 
 
-def _stored_schema(spec: TableSpec) -> T.StructType:
-    return T.StructType([f for f in spec.schema if f.name in spec.loaded_columns])
-
-
 @dataclass
 class CsvLoad:
     """What a CSV load left behind: tables, rejected rows, skipped tables, report."""
@@ -207,57 +210,63 @@ def apply_season(
     return after, rejects
 
 
-def read_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The stored tables; one that does not exist yet is empty."""
-    tables = {}
-    for name, spec in TABLES.items():
-        schema = _stored_schema(spec)
-        try:
-            tables[name] = spark.read.schema(schema).parquet(f"{root}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            tables[name] = spark.createDataFrame([], schema)
-    return tables
+class SeasonOutcome(dict[str, DataFrame]):
+    """The rejected rows of each table of a season.
 
+    ``applied`` is False if its batch had been applied before. ``conflicts`` counts, for
+    the statistics, keys that came several times and the rows that lost to their last one:
+    ``(table_name, repeated_keys, rows_replaced)``; None without statistics.
+    """
+
+    def __init__(
+        self,
+        rejects: dict[str, DataFrame] | None = None,
+        applied: bool = True,
+        conflicts: DataFrame | None = None,
+    ) -> None:
+        super().__init__(rejects or {})
+        self.applied, self.conflicts = applied, conflicts
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    """Store rows; with ``mode='replace_seasons'`` only the seasons present are replaced."""
-    spec = TABLES[name]
-    out = df.select(*spec.loaded_columns)
-    partitions = [SEASON] if SEASON in spec.columns else []
-    writer = out.hint("rebalance", *partitions).write
-    if mode == "replace_seasons":
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = writer.mode(mode)
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.parquet(f"{root}/{name}")
+
+def read_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the version in force; one that does not exist yet is empty."""
+    return Draft(spark, root).read()
 
 
 def store_season(
-    spark: SparkSession, root: str, inputs: SeasonInputs
-) -> dict[str, DataFrame]:
+    spark: SparkSession, root: str, inputs: SeasonInputs, batch: str | None = None
+) -> SeasonOutcome:
     """Apply a season to the stored warehouse and return the rejected rows.
 
-    Only new rows are appended, and only the season's own partition of the season
-    statistics is rewritten: the stored logs of other seasons are not read, but for
-    their key columns.
+    All of it takes effect at once, when the new version is told; a season that fails on
+    the way changes nothing. A named ``batch`` is applied once: again, it is left alone.
+    Without a name, players, games and logs already stored stay, statistics are replaced
+    and events are repeated.
+
+    Only new rows are written, and of the season statistics only the season's own part:
+    the stored logs of other seasons are not read, but for their key columns. New rows of
+    tables with row ids get the next ids; replaced rows keep theirs.
     """
-    state = read_warehouse(spark, root)
+    draft = Draft(spark, root)
+    if batch is not None and batch in draft.base.batches:
+        return SeasonOutcome(applied=False)
+    state = draft.read()
     batches, rejects = season_batches(state, inputs)
     order = _order_columns(inputs.order_cols)
+    conflicts = []
     for name, keys in (("player", ["player_id"]), ("game", ["game_id"])):
         if name in batches:
-            write_table(fresh_rows(state[name], batches[name], keys, keys), root, name)
+            draft.write(fresh_rows(state[name], batches[name], keys, keys), name)
+    season = season_to_int(F.lit(inputs.season))
     for name in ("player_season", TOTALS):
         if name in batches:
             keys = list(TABLES[name].unique)
-            stored = state[name].filter(F.col(SEASON) == season_to_int(F.lit(inputs.season)))
-            # Pinned, because writing replaces the partition it is read from.
+            stored = state[name].filter(F.col(SEASON) == season)
             merged = pin(upsert(stored, batches[name], keys, order))
-            write_table(merged, root, name, "replace_seasons")
+            number = spark.range(1).select(season.alias("n")).first()["n"]
+            draft.write(draft.with_ids(merged, name, state[name]), name, number)
+            lost = batch_conflicts(batches[name], keys)
+            conflicts.append(lost.select(F.lit(name).alias("table_name"), "*"))
     if "player_game_log" in batches:
         fresh = fresh_rows(
             state["player_game_log"],
@@ -266,27 +275,45 @@ def store_season(
             order,
             narrow_by="game_id",
         )
-        write_table(fresh, root, "player_game_log")
+        draft.write(fresh, "player_game_log")
     if "play_by_play" in batches:
-        write_table(batches["play_by_play"], root, "play_by_play")
-    return rejects
+        events = pin(batches["play_by_play"].select(*TABLES["play_by_play"].loaded_columns))
+        draft.write(draft.with_ids(events, "play_by_play", state["play_by_play"]), "play_by_play")
+    draft.commit(batch)
+    lost = reduce(DataFrame.unionByName, conflicts) if conflicts else None
+    return SeasonOutcome(rejects, conflicts=lost)
 
 
 def store_dimensions(spark: SparkSession, root: str, teams: DataFrame) -> None:
     """Store the teams and event types that aren't stored yet; both are small and constant."""
-    state = read_warehouse(spark, root)
+    draft = Draft(spark, root)
+    state = draft.read()
     for name, rows in (
         ("team", normalise_team(teams)),
         ("event_message_type", event_message_types(spark)),
     ):
         key = list(TABLES[name].conflict_key)
-        fresh = fresh_rows(state[name], rows, key, key)
-        write_table(pin(fresh), root, name)
+        fresh = pin(fresh_rows(state[name], rows, key, key))
+        if not fresh.isEmpty():
+            draft.write(fresh, name)
+    if draft.parts != list(draft.base.parts):
+        draft.commit()
 
 
 def build_warehouse(
-    spark: SparkSession, root: str, teams: DataFrame, seasons: Iterable[SeasonInputs]
-) -> list[dict[str, DataFrame]]:
-    """Dimensions first, then one season after another; each season's rejected rows."""
+    spark: SparkSession,
+    root: str,
+    teams: DataFrame,
+    seasons: Iterable[SeasonInputs],
+    name: str | None = None,
+) -> list[SeasonOutcome]:
+    """Dimensions first, then one season after another; each season's rejected rows.
+
+    A build with a ``name`` can be run again after it broke off: seasons already applied
+    under it are left alone. A season that comes twice in one build is applied twice.
+    """
     store_dimensions(spark, root, teams)
-    return [store_season(spark, root, inputs) for inputs in seasons]
+    return [
+        store_season(spark, root, s, None if name is None else f"{name}/{at}/{s.season}")
+        for at, s in enumerate(seasons)
+    ]

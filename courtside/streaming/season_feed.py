@@ -1,4 +1,4 @@
-"""Landed game-log files applied to the stored warehouse as they arrive."""
+"""Landed feed files applied to the stored warehouse as they arrive."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from courtside.plans.warehouse import SeasonInputs, store_season
 
+FEEDS = ("players", "games", "player_season", "totals", "game_log", "play_by_play")
 
-def log_feed(
+
+def season_feed(
     spark: SparkSession,
     landing: str,
     schema: str,
@@ -16,17 +18,22 @@ def log_feed(
     checkpoint: str,
     order_cols: list[str],
     season: str,
+    feed: str = "game_log",
 ) -> StreamingQuery:
-    """Insert-ignore every new Parquet file of raw logs, then stop when none is left.
+    """Apply every new Parquet file of one of ``FEEDS``, then stop when none is left.
 
-    A micro-batch that is repeated after a failure changes nothing, because rows
-    already stored are ignored.
+    A micro-batch is a named batch of the warehouse, known by the checkpoint folder and its
+    number. One that is repeated after a failure changes nothing, events included: its rows
+    and its name take effect together. Statistics replace those of the same player, logs
+    already stored stay, each micro-batch after those before it.
     """
+    if feed not in FEEDS:
+        raise ValueError(f"no such feed: {feed}")
     raw = spark.readStream.schema(schema).parquet(landing)
 
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        inputs = SeasonInputs(season, order_cols, game_log=batch)
-        store_season(batch.sparkSession, root, inputs)
+    def apply(batch: DataFrame, number: int) -> None:
+        inputs = SeasonInputs(season, order_cols, **{feed: batch})
+        store_season(batch.sparkSession, root, inputs, f"{checkpoint}/{number}")
 
     return (
         raw.writeStream.foreachBatch(apply)
@@ -34,3 +41,16 @@ def log_feed(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def log_feed(
+    spark: SparkSession,
+    landing: str,
+    schema: str,
+    root: str,
+    checkpoint: str,
+    order_cols: list[str],
+    season: str,
+) -> StreamingQuery:
+    """``season_feed`` of game logs: stored rows win, then the first to arrive."""
+    return season_feed(spark, landing, schema, root, checkpoint, order_cols, season)

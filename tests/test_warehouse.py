@@ -1,8 +1,10 @@
+import shutil
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from courtside.plans import versions, warehouse
 from courtside.plans.warehouse import (
     SeasonInputs,
     build_warehouse,
@@ -13,7 +15,7 @@ from courtside.plans.warehouse import (
 from courtside.sources.feeds import align, normalise_player, normalise_team
 from courtside.sources.files import read_corpus, read_table_csv, write_csv, write_summary
 from courtside.schemas import TABLES
-from courtside.streaming.season_feed import log_feed
+from courtside.streaming.season_feed import log_feed, season_feed
 
 
 def write(folder, name, text):
@@ -259,3 +261,110 @@ def test_summary_file(spark, tmp_path):
     path = write_summary(lines, str(tmp_path), datetime(2024, 1, 2, 3, 4, 5))
     assert path.endswith("eval_summary_2024-01-02_03-04-05")
     assert [r.value for r in spark.read.text(path).collect()] == list("43210")
+
+
+def contents(spark, root):
+    """All rows of all six season tables, as text."""
+    tables = read_warehouse(spark, root)
+    names = ["player", "game", "player_season", "player_game_log", "play_by_play", warehouse.TOTALS]
+    return {n: sorted(str(r.asDict()) for r in tables[n].collect()) for n in names}
+
+
+def whole_season(spark, label, pts):
+    inputs = season(spark, label, pts)
+    rows = [("1", "10", 5, pts, 1), ("2", "10", 6, 1.0, 1), ("1", "10", 7, pts + 1, 2)]
+    inputs.totals = spark.createDataFrame(
+        rows, "PLAYER_ID string, TEAM_ID string, GP int, PTS double, o int"
+    )
+    return inputs
+
+
+CLUBS = [(10, "A", "a", "", "x"), (11, "B", "b", "", "y")]
+
+
+@pytest.mark.parametrize("breaks", ["player_game_log", "the version"])
+def test_a_season_that_breaks_off_can_be_run_again(spark, tmp_path, monkeypatch, breaks):
+    """Nothing of the broken attempt counts; run again, all six tables hold the season once."""
+    root = str(tmp_path)
+    versions.Draft(spark, root).commit("before")
+    inputs = whole_season(spark, "2022-23", 9.0)
+    inputs.play_by_play = inputs.play_by_play.withColumn("PLAYER1_ID", F.lit(None).cast("string"))
+    for name, rows in (("team", [(10, "A", "a", "", "x"), (11, "B", "b", "", "y")]), ("event_message_type", [(1, "Made")])):
+        spark.createDataFrame(rows, TABLES[name].schema).write.parquet(f"{root}/{name}")
+    write, commit = versions.Draft.write, versions.Draft.commit
+
+    def failing_write(self, rows, table, season=None):
+        if table == breaks:
+            raise RuntimeError("killed")
+        write(self, rows, table, season)
+
+    def failing_commit(self, batch=None):
+        if breaks == "the version":
+            raise RuntimeError("killed")
+        return commit(self, batch)
+
+    monkeypatch.setattr(versions.Draft, "write", failing_write)
+    monkeypatch.setattr(versions.Draft, "commit", failing_commit)
+    with pytest.raises(RuntimeError, match="killed"):
+        store_season(spark, root, inputs, "b")
+    monkeypatch.undo()
+    assert all(not rows for rows in contents(spark, root).values())
+    assert store_season(spark, root, inputs, "b").applied
+    found = contents(spark, root)
+    assert {n: len(rows) for n, rows in found.items()} == {
+        "player": 2, "game": 1, "player_season": 1, "player_game_log": 1, "play_by_play": 2,
+        warehouse.TOTALS: 2,
+    }
+    assert not store_season(spark, root, inputs, "b").applied
+    assert contents(spark, root) == found
+
+
+def test_ids_last_over_increments(spark, tmp_path):
+    root = str(tmp_path / "root")
+    teams = spark.createDataFrame(CLUBS, TABLES["team"].schema).withColumnRenamed("team_id", "id")
+    warehouse.store_dimensions(spark, root, teams)
+    given = {}
+    for label, pts in (("2021-22", 1.0), ("2022-23", 2.0), ("2021-22", 3.0)):
+        outcome = store_season(spark, root, whole_season(spark, label, pts))
+        lost = {r.table_name: (r.repeated_keys, r.rows_replaced) for r in outcome.conflicts.collect()}
+        assert lost == {"player_season": (0, 0), warehouse.TOTALS: (1, 1)}
+        tables = read_warehouse(spark, root)
+        for name in ("player_season", warehouse.TOTALS, "play_by_play"):
+            ids = [r.id for r in tables[name].collect()]
+            assert None not in ids and len(set(ids)) == len(ids)
+        stats = {(r.player_id, r.season_id): r.id for r in tables[warehouse.TOTALS].collect()}
+        assert given.items() <= stats.items()
+        given = stats
+    assert sorted(given.values()) == [1, 2, 3, 4]
+    assert sorted(r.id for r in tables["play_by_play"].collect()) == [1, 2, 3, 4, 5, 6]
+    assert {r.pts for r in tables[warehouse.TOTALS].where("player_id = 1").collect()} == {3.0, 4.0}
+
+
+def test_two_writers_are_noticed(spark, tmp_path):
+    root = str(tmp_path / "root")
+    drafts = [versions.Draft(spark, root), versions.Draft(spark, root)]
+    drafts[0].commit("one")
+    with pytest.raises(RuntimeError, match="two jobs"):
+        drafts[1].commit("two")
+
+
+def test_events_and_statistics_stream_in_once(spark, tmp_path):
+    root, landing = str(tmp_path / "root"), str(tmp_path / "landing")
+    teams = spark.createDataFrame(CLUBS, TABLES["team"].schema).withColumnRenamed("team_id", "id")
+    first = season(spark, "2022-23", 20.0)
+    events, stats = first.play_by_play.withColumn("o", F.lit(1)), first.player_season
+    first.play_by_play = first.player_season = first.game_log = None
+    warehouse.build_warehouse(spark, root, teams, [first])
+    for name, rows in (("play_by_play", events), ("player_season", stats)):
+        rows.write.parquet(f"{landing}/{name}")
+        schema, checkpoint = rows.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / f"c-{name}")
+        for _ in range(2):
+            feed = season_feed(
+                spark, f"{landing}/{name}", schema, root, checkpoint, ["o"], "2022-23", name
+            )
+            feed.awaitTermination(120)
+            assert feed.exception() is None
+            # The stream's own log of what it has done is lost; the warehouse knows.
+            shutil.rmtree(f"{checkpoint}/commits")
+    tables = read_warehouse(spark, root)
+    assert tables["play_by_play"].count() == 2 and tables["player_season"].count() == 1
