@@ -22,7 +22,10 @@ _SEASON = 21998
 
 
 # -- the declared catalogue, measured against the stored tables ---------------------
-_PROFILED = ["team", "player", "game", "player_game_log", PGTT, "player_season", "play_by_play"]
+_PROFILED = [
+    "event_message_type", "team", "player", "game", "player_game_log", PGTT, "player_season",
+    "play_by_play",
+]
 
 
 def _literal(value: object) -> str:
@@ -54,6 +57,7 @@ LEFT JOIN counts n USING (table_name, column_name)"""
 
 
 _VIEW_COLUMNS = {
+    "event_message_type": TABLES["event_message_type"].columns,
     "team": TABLES["team"].columns,
     "player": TABLES["player"].columns,
     "game": TABLES["game"].columns,

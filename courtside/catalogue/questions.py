@@ -217,18 +217,43 @@ def year_filter(v: Views) -> DataFrame:
     return season.select("player_id", "season_id", number("pts"))
 
 
+# The other five ids of an event, as the feed has them: missing in most events.
+_MORE_IDS = {
+    "player1_team_id": "CASE WHEN player1_id % 2 = 0 THEN player1_id % 25 END",
+    "player2_id": "CASE WHEN event_num % 3 = 0 THEN player1_id + 1 END",
+    "player2_team_id": "CASE WHEN event_num % 3 = 0 THEN event_num % 30 END",
+    "player3_id": "CASE WHEN event_num % 7 = 0 THEN player1_id + 2 END",
+    "player3_team_id": "CASE WHEN event_num % 7 = 0 THEN event_num % 25 END",
+}
+
+
 @query(
-    with_views("event_message_type", "play_by_play", "player")
+    with_views(
+        "event_message_type",
+        "play_by_play",
+        "player",
+        "team",
+        full_log="SELECT *, "
+        + ", ".join(f"CAST({sql} AS int) AS {name}" for name, sql in _MORE_IDS.items())
+        + " FROM play_by_play",
+    )
     + """SELECT e.event_num, e.game_id, e.period, m.string AS event_type, e.player1_id,
-  p.player_name AS player1_name
-FROM play_by_play e LEFT JOIN event_message_type m ON e.event_msg_type_id = m.id
-LEFT JOIN player p ON e.player1_id = p.player_id"""
+  e.player2_id, e.player3_id, a.player_name AS player1_name, b.player_name AS player2_name,
+  c.player_name AS player3_name, x.nickname AS team1, y.nickname AS team2, z.nickname AS team3
+FROM full_log e LEFT JOIN event_message_type m ON e.event_msg_type_id = m.id
+LEFT JOIN player a ON e.player1_id = a.player_id LEFT JOIN player b ON e.player2_id = b.player_id
+LEFT JOIN player c ON e.player3_id = c.player_id LEFT JOIN team x ON e.player1_team_id = x.team_id
+LEFT JOIN team y ON e.player2_team_id = y.team_id LEFT JOIN team z ON e.player3_team_id = z.team_id"""
 )
 def decode_events(v: Views) -> DataFrame:
-    decoded = stats.decode_events(v)
+    """Events with the names of all three players and teams; most ids are missing."""
+    ids = {name: F.expr(sql).cast("int") for name, sql in _MORE_IDS.items()}
+    tables = {name: v[name] for name in ("player", "team", "event_message_type")}
+    decoded = stats.decode_events(tables | {"play_by_play": v["play_by_play"].withColumns(ids)})
     return decoded.select(
-        "event_num", "game_id", "period", "event_type", "player1_id", "player1_name"
-    )
+        "event_num", "game_id", "period", "event_type", "player1_id", "player2_id", "player3_id",
+        "player1_name", "player2_name", "player3_name", "team1", "team2", "team3",
+    )
 
 
 _CAREER = {

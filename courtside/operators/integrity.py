@@ -166,6 +166,8 @@ def flag_rows(
     flagged = flag_orphans(flagged, spec, parents)
     if order_cols is not None:
         flagged = flag_duplicates(flagged, list(spec.conflict_key), order_cols)
+        if spec.serial in df.columns and spec.serial not in spec.conflict_key:
+            flagged = flag_duplicates(flagged, [spec.serial], order_cols)
     return flagged
 
 

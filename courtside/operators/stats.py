@@ -79,18 +79,19 @@ def players_where(t: Tables, column: str, value: str) -> DataFrame:
 def best_per_team_season(t: Tables, stat: str = "pts", team: str | None = None) -> DataFrame:
     """Per season, the player(s) with their team's highest value; ties are kept.
 
-    The maximum is an aggregate joined back, not a rank window: it combines before
-    the shuffle however many rows one team-season has.
+    Every task keeps only the best of its team-seasons before the shuffle, and names are
+    joined to what is left: the season table is read once.
     """
     teams = t["team"].select("team_id", "nickname")
     if team is not None:
         teams = teams.filter(F.col("nickname") == team)
-    season = t["player_season"].join(teams, "team_id")
-    best = season.groupBy("team_id", "season_id").agg(F.max(stat).alias(stat))
+    known = t["player_season"].filter(F.col(stat).isNotNull())
+    if team is not None:
+        known = known.join(teams.select("team_id"), "team_id", "left_semi")
+    order = Window.partitionBy("team_id", "season_id").orderBy(F.desc(stat))
+    best = known.withColumn("_rank", F.rank().over(order)).filter(F.col("_rank") == 1)
     totals = t[TOTALS].select("player_id", "season_id")
-    leaders = season.join(best, ["team_id", "season_id", stat]).join(
-        totals, ["player_id", "season_id"], "left_semi"
-    )
+    leaders = best.join(totals, ["player_id", "season_id"], "left_semi").join(teams, "team_id")
     return (
         _with_names(t, leaders)
         .select("season_id", "nickname", "player_name", stat)
@@ -101,8 +102,14 @@ def best_per_team_season(t: Tables, stat: str = "pts", team: str | None = None)
 def league_leaders(
     t: Tables, columns: Sequence[str], order_by: str = "pts", k: int = 10
 ) -> DataFrame:
-    """Every season's top ``k`` players with chosen columns and the season's size."""
-    named = _with_names(t, t[TOTALS]).join(
+    """Every season's top ``k`` players with chosen columns and the season's size.
+
+    Rows that rank beyond ``k`` by value go before any name is joined; ties at the cut
+    stay until names decide. Every stored statistic has a known player (K4).
+    """
+    by_value = Window.partitionBy("season_id").orderBy(F.desc_nulls_first(order_by))
+    top = t[TOTALS].withColumn("_rank", F.rank().over(by_value)).filter(F.col("_rank") <= k)
+    named = _with_names(t, top).join(
         t["team"].select("team_id", "abbreviation"), "team_id", "left"
     )
     order = Window.partitionBy("season_id").orderBy(
@@ -160,17 +167,30 @@ def in_end_year(df: DataFrame, year: int) -> DataFrame:
     return df.filter(F.col("season_id") == season_from_end_year(year))
 
 
+def _look_up(events: DataFrame, dim: DataFrame, column: str) -> DataFrame:
+    """Left join of a dimension on one id; events without it are dealt out, not put together.
+
+    Ids are 32-bit numbers. A missing one becomes a number beyond those, which no row of
+    the dimension has, so a sorted join doesn't bring all of them to one task.
+    """
+    spread = F.lit(1 << 40) + F.pmod(F.xxhash64("game_id", "event_num"), F.lit(4096))
+    marked = events.withColumn("_key", F.coalesce(F.col(column).cast("bigint"), spread))
+    keyed = dim.withColumn(column, F.col(column).cast("bigint")).withColumnRenamed(column, "_key")
+    return marked.join(keyed, "_key", "left").drop("_key")
+
+
 def decode_events(t: Tables) -> DataFrame:
     """The event log with its type, player and team names.
 
     No broadcast is forced: Spark broadcasts a dimension whose size it knows to be
-    under its threshold, and splits skewed keys of a sorted join at run time.
+    under its threshold, and splits skewed keys of a sorted join at run time. Most events
+    lack most ids; such rows get keys that match nothing and spread evenly.
     """
     events = t["play_by_play"]
     types = t["event_message_type"].select(
         F.col("id").alias("event_msg_type_id"), F.col("string").alias("event_type")
     )
-    out = events.join(types, "event_msg_type_id", "left")
+    out = _look_up(events, types, "event_msg_type_id")
     lookups = [("player", "player_id", "player_name"), ("team", "team_id", "nickname")]
     for n in (1, 2, 3):
         for table, key, label in lookups:
@@ -180,5 +200,5 @@ def decode_events(t: Tables) -> DataFrame:
                     F.col(key).alias(column),
                     F.col(label).alias(f"player{n}_name" if table == "player" else f"team{n}"),
                 )
-                out = out.join(dim, column, "left")
+                out = _look_up(out, dim, column)
     return out

@@ -27,6 +27,7 @@ from courtside.operators.integrity import (
 )
 from courtside.operators.keys import (
     OrderCols,
+    allocate_ids,
     batch_conflicts,
     fresh_rows,
     insert_ignore,
@@ -65,6 +66,16 @@ class CsvLoad:
     samples: DataFrame | None = None
 
 
+def _with_ids(rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """Staged rows of a CSV with a row id each: the file's own, others above the highest of it."""
+    if spec.serial not in rows.columns:
+        return allocate_ids(rows, [ARRIVAL], 0, spec.serial)
+    highest = rows.agg(F.max(spec.serial)).first()[0] or 0
+    given = rows.where(F.col(spec.serial).isNotNull())
+    unnumbered = rows.where(F.col(spec.serial).isNull()).drop(spec.serial)
+    return given.unionByName(allocate_ids(unnumbered, [ARRIVAL], highest, spec.serial))
+
+
 def load_all(
     spark: SparkSession,
     csv_dir: str,
@@ -76,7 +87,8 @@ def load_all(
 
     Text is parsed once, into a typed staging table: the key checks read only its key
     columns, and the arrival numbers are fixed. Checked rows are written once too, good
-    and rejected ones in separate partitions. A missing file skips its table, which
+    and rejected ones in separate partitions. Row ids a file gives are kept, a repeated one
+    is rejected, and rows without one get the next ids. A missing file skips its table, which
     then counts as an empty parent.
     """
     load, staged = CsvLoad(), {}
@@ -93,6 +105,10 @@ def load_all(
             continue
         rows.write.parquet(f"{staging}/{name}")
         rows = spark.read.schema(rows.schema).parquet(f"{staging}/{name}")
+        if spec.serial is not None:
+            numbered = _with_ids(rows, spec)
+            numbered.write.parquet(f"{staging}/{name}-ids")
+            rows = spark.read.schema(numbered.schema).parquet(f"{staging}/{name}-ids")
         flagged = flag_rows(rows, spec, parents, [ARRIVAL]).withColumn("_ok", is_good())
         path = f"{out_dir}/{name}"
         partitions = ["_ok", SEASON] if SEASON in spec.columns else ["_ok"]
@@ -100,7 +116,7 @@ def load_all(
         flagged.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(
             *partitions
         ).parquet(path)
-        columns = [F.col(c) for c in spec.loaded_columns]
+        columns = [F.col(c) for c in spec.columns]
         stored = spark.read.schema(flagged.schema).parquet(path)
         staged[name] = stored
         load.tables[name] = stored.filter(F.col("_ok")).select(*columns)

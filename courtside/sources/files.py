@@ -67,11 +67,11 @@ def clean_row(df: DataFrame, spec: TableSpec) -> DataFrame:
 
     Missing-value spellings and blanks become NULL; the declared integer columns are
     truncated. A column the table does not have makes every row bad. A bad number
-    sets its row aside; it does not end the load.
+    sets its row aside; it does not end the load. Row ids are kept where the file has them.
     """
     known = set(spec.columns)
     values, reasons = [], []
-    for column in spec.loaded_columns:
+    for column in spec.columns if spec.serial in df.columns else spec.loaded_columns:
         target = spec.schema[column].dataType
         if column not in df.columns:
             values.append(F.lit(None).cast(target).alias(column))

@@ -34,7 +34,9 @@ def test_top_k_is_taken_per_task(spark, folder):
     assert "TakeOrderedAndProject" in text
 
 
-@pytest.mark.parametrize("name", ["dedupe_first", "result_preview", "league_leaders"])
+@pytest.mark.parametrize(
+    "name", ["dedupe_first", "result_preview", "league_leaders", "best_scorer_per_team_season"]
+)
 def test_windows_are_cut_before_the_shuffle(name, spark, folder):
     text = plan(driver.queries()[name](spark, folder))
     assert "WindowGroupLimit" in text and ", Partial" in text
@@ -56,3 +58,40 @@ def test_insert_ignore_does_not_shuffle_the_targets_rows(spark, tmp_path):
     first = text.split("Union")[1]
     # The first branch of the union is the bare scan.
     assert first.index("FileScan") < first.index("Exchange")
+
+
+def test_leaders_are_cut_before_names_are_joined(spark, folder):
+    with stored_views(Views(spark, folder)):
+        names = ("player", "team", "player_season", "player_general_traditional_total")
+        tables = {n: spark.table(n) for n in names}
+        best, leaders = stats.best_per_team_season(tables), stats.league_leaders(tables, ["gp"])
+        optimized = best._jdf.queryExecution().optimizedPlan().toString()
+        named = leaders._jdf.queryExecution().optimizedPlan().toString()
+    # The best are cut out, not found by a maximum that is joined back.
+    assert optimized.count("WindowGroupLimit") == 1 and "Aggregate" not in optimized
+    # The tree is printed from the top: the cut stands below the join of the names.
+    assert named.rindex("WindowGroupLimit") > named.index("Join")
+
+
+def test_missing_ids_are_dealt_out(spark):
+    events = spark.range(10_000).selectExpr(
+        "CAST(id AS string) AS game_id", "CAST(id AS int) AS event_num", "1 AS event_msg_type_id",
+        "CAST(CASE WHEN id < 50 THEN id END AS int) AS player1_id",
+    )
+    dims = {
+        "event_message_type": spark.createDataFrame([(1, "Made")], "id int, string string"),
+        "player": spark.createDataFrame([(i, f"p{i}") for i in range(60)], "player_id int, player_name string"),
+        "team": spark.createDataFrame([], "team_id int, nickname string"),
+    }
+    dims["player"] = dims["player"].hint("merge")
+    decoded = stats.decode_events(dims | {"play_by_play": events})
+    assert decoded.where("player1_name IS NULL").count() == 9_950
+    assert decoded.count() == 10_000
+    keyed = stats._look_up(
+        events, dims["player"].withColumnRenamed("player_id", "player1_id"), "player1_id"
+    )
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    sizes = keyed.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset(coalesce)
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2 * 10_000 / len(sizes)

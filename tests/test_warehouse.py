@@ -368,3 +368,24 @@ def test_events_and_statistics_stream_in_once(spark, tmp_path):
             shutil.rmtree(f"{checkpoint}/commits")
     tables = read_warehouse(spark, root)
     assert tables["play_by_play"].count() == 2 and tables["player_season"].count() == 1
+
+
+def test_ids_of_a_csv_are_kept_and_repeats_rejected(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    write(folder, "player", "player_id,player_name\n1,A\n2,B\n3,C\n4,D\n5,E\n")
+    rows = ["7,1,22023", "7,2,22023", ",3,22023", "x,4,22023", "2,5,22023", ",1,22022"]
+    write(folder, "player_season", "id,player_id,season_id\n" + "\n".join(rows) + "\n")
+    rows = ["1,22023", "2,22023", "2,22023"]
+    write(folder, warehouse.TOTALS, "player_id,season_id\n" + "\n".join(rows) + "\n")
+    load = load_all(spark, str(folder), str(tmp_path / "out"))
+    stored = {(r.player_id, r.season_id): r.id for r in load.tables["player_season"].collect()}
+    assert stored[1, 22023] == 7 and stored[5, 22023] == 2
+    assert sorted((stored[3, 22023], stored[1, 22022])) != [None, None]
+    assert set(stored) == {(1, 22023), (5, 22023), (3, 22023), (1, 22022)}
+    assert len(set(stored.values())) == 4 and min(stored[3, 22023], stored[1, 22022]) > 7
+    rejects = {r.player_id: r._reasons for r in load.rejects["player_season"].collect()}
+    assert set(rejects) == {2, 4}
+    assert "id" in rejects[2][0] and rejects[4] == ["id: not a valid bigint"]
+    totals = [(r.player_id, r.id) for r in load.tables[warehouse.TOTALS].collect()]
+    assert {p for p, _ in totals} == {1, 2} and {i for _, i in totals} <= {1, 2, 3}
