@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from courtside.functions.cleaning import (
 )
 from courtside.operators.integrity import REASONS
 from courtside.schemas import INT_COLUMNS, TableSpec
+from courtside.session import pin
 
 ARRIVAL = "_arrival"
 
@@ -95,17 +96,108 @@ def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
 
 
+# What stands for a quoted part of a record when its form is checked.
+_QUOTED = "\u0001"
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files as ``(file, at, text)`` without their header, put together from lines.
+
+    Quotes are doubled inside values, so a line stands inside a value if the quotes before
+    it in its file are odd in number. Splits are counted first, and the counts of those
+    before say how each begins: no task reads more than a split, but for the parts of one
+    record. ``at`` is the block and the row id of a record's first line.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        "value",
+        ((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2).alias("odd"),
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd")).select(
+        "file", "block", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("file", "block").orderBy("row")
+    above = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = lines.join(splits, ["file", "block"]).withColumn(
+        "_at", F.when((F.col("_before") + above) % 2 == 0, F.struct("block", "row"))
+    )
+    placed = pin(begins.withColumn("at", F.last("_at", ignorenulls=True).over(inside)))
+    # The lines before the first record of a split belong to the last one before it.
+    first = F.struct("_at", F.col("value").endswith("\r").alias("returns"))
+    lasts = placed.groupBy("file", "block").agg(
+        F.max("at").alias("at"), F.min(F.when(F.col("_at").isNotNull(), first)).alias("first")
+    )
+    whole_file = Window.partitionBy("file")
+    carried = lasts.select(
+        "file",
+        "block",
+        F.last("at", ignorenulls=True).over(earlier).alias("_carried"),
+        F.min("first").over(whole_file).alias("_header"),
+    )
+    known = placed.join(carried, ["file", "block"]).withColumn("at", F.coalesce("at", "_carried"))
+    known = known.where(F.col("at") != F.col("_header._at")).withColumn(
+        "returns", F.col("_header.returns")
+    )
+    alone = F.col("_at").isNotNull() & (F.col("odd") == 0)
+    parts = F.sort_array(F.collect_list(F.struct("block", "row", "value")))
+    joined = known.where(~alone).groupBy("file", "at", "returns").agg(
+        F.array_join(F.transform(parts, lambda part: part["value"]), "\n").alias("text")
+    )
+    single = known.where(alone).select("file", "at", "returns", F.col("value").alias("text"))
+    # Where lines end in both characters, breaks inside values come back as line feeds.
+    broken = F.when(F.col("returns"), F.replace("text", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+    records = single.unionByName(joined).withColumn("text", broken).drop("returns")
+    return records.withColumn("text", F.regexp_replace("text", r"\r$", "")).where("text <> ''")
+
+
+def scan_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``scan_csv`` reads with ``multiline``, by as many tasks as the files have splits.
+
+    Files in one split, and files where a quote stands inside an unquoted value (so that
+    quotes don't tell where records end), are read whole by one task each. Lines end in a
+    line feed, with or without a carriage return.
+    """
+    whole = scan_csv(spark, path, multiline=True)
+    if spark.read.text(path).rdd.getNumPartitions() <= 1:
+        return whole
+    records = _records(spark, path)
+    shape = F.regexp_replace("text", '"[^"]*"', _QUOTED)
+    odd = shape.rlike(f"[^,{_QUOTED}]{_QUOTED}|{_QUOTED}[^,{_QUOTED}]|\"")
+    if not records.where(odd).limit(1).isEmpty():
+        return whole
+    names = [c for c in whole.columns if c != ARRIVAL]
+    options = {
+        "quote": '"',
+        "escape": '"',
+        "multiLine": "true",
+        "lineSep": "\n",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = records.withColumn("_value", F.from_csv("text", schema, options))
+    arrival = F.struct("file", F.col("at.block").alias("block"), F.col("at.row").alias("row"))
+    return parsed.select(
+        *[F.col(f"_value.c{i}").alias(name) for i, name in enumerate(names)], arrival.alias(ARRIVAL)
+    )
+
+
 def read_table_csv(
     spark: SparkSession, path: str, spec: TableSpec, multiline: bool | None = None
 ) -> DataFrame:
     """A table's CSV as typed rows with ``_arrival`` and ``_reasons``.
 
     Values may hold quoted line breaks. By default the file is scanned for them first: one
-    without any is read line by line, which splits large files and gives the same rows.
+    without any is read line by line, which splits large files and gives the same rows;
+    others are put together from lines (see ``scan_quoted_csv``).
     """
     if multiline is None:
         multiline = has_quoted_breaks(spark, path)
-    return clean_row(scan_csv(spark, path, multiline), spec)
+    scanned = scan_quoted_csv(spark, path) if multiline else scan_csv(spark, path)
+    return clean_row(scanned, spec)
 
 
 def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -113,7 +205,7 @@ def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 
     ``limit`` keeps the first rows of the file, as an evaluation run may ask for.
     """
-    scanned = scan_csv(spark, path, multiline=True)
+    scanned = scan_quoted_csv(spark, path)
     corpus = scanned if limit is None else scanned.orderBy(ARRIVAL).limit(limit)
     return corpus
 
