@@ -68,6 +68,26 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return once.select("pattern", "action", F.col("listed_at").alias("since"), following.alias("until"))
 
 
+def time_bucket(time: Column, days: int) -> Column:
+    return F.floor(F.unix_seconds(time.cast("timestamp")) / (days * 86_400))
+
+
+def in_buckets(intervals: DataFrame, times: DataFrame, days: int) -> DataFrame:
+    """Intervals laid into the time buckets they touch, of those that hold a time in ``_at``.
+
+    The driver sees which buckets those are: a number for each span of ``days`` days in
+    which anything was captured, so no more than the spans of the captured time. Spans
+    without a capture cost nothing, however far apart the captures are.
+    """
+    held = times.where(F.col("_at").isNotNull()).select(time_bucket(F.col("_at"), days).alias("b"))
+    found = sorted(row["b"] for row in held.distinct().collect())
+    # One literal, however many they are.
+    occupied = F.from_json(F.lit(str(found)), "array<bigint>")
+    since, until = time_bucket(F.col("since"), days), time_bucket(F.col("until"), days)
+    touched = F.filter(occupied, lambda b: (b >= since) & (until.isNull() | (b <= until)))
+    return intervals.withColumn("_bucket", F.explode(touched))
+
+
 def judge_captures(
     captures: DataFrame,
     entries: DataFrame,
@@ -91,13 +111,8 @@ def judge_captures(
     As-of join by time buckets: intervals are laid into the buckets of ``bucket_days`` they
     touch, captures into the one of their time, and both meet on pattern and bucket, so a
     pattern with a long history isn't compared entry by entry. Captures of a common host
-    are dealt over several tasks. Intervals end at the last capture's bucket.
+    are dealt over several tasks. Intervals are laid only into buckets that hold captures.
     """
-    seconds = bucket_days * 86_400
-
-    def bucket(time: Column) -> Column:
-        return F.floor(F.unix_seconds(time.cast("timestamp")) / seconds)
-
     place = [F.col(id_column), F.col(url_column), F.col(time_column).cast("timestamp")]
     key = F.concat(F.hex(F.xxhash64(*place)), F.hex(F.xxhash64(F.lit("second"), *place)))
     rows = captures.select(
@@ -107,21 +122,11 @@ def judge_captures(
         key.alias("_key"),
     )
     # Equal captures are judged once and expanded at the end.
-    times = rows.agg(F.min("_at").alias("low"), F.max("_at").alias("high")).first()
     candidates = rows.select(
-        "_key", "_at", bucket(F.col("_at")).alias("_bucket"), F.explode(patterns_of(F.col("_url"))).alias("p")
+        "_key", "_at", time_bucket(F.col("_at"), bucket_days).alias("_bucket"), F.explode(patterns_of(F.col("_url"))).alias("p")
     ).select("_key", "_at", "_bucket", F.lower("p.pattern").alias("pattern"), "p.rank")
-    low, high = F.lit(times["low"]).cast("timestamp"), F.lit(times["high"]).cast("timestamp")
-    intervals = validity_intervals(entries).where((F.col("since") <= high) & (F.col("action") != "remove"))
-    touched = F.sequence(
-        bucket(F.greatest("since", low)), bucket(F.least(F.coalesce("until", high), high))
-    )
-    laid = stored(
-        intervals.where(F.col("until").isNull() | (F.col("until") > low)).withColumn(
-            "_bucket", F.explode(touched)
-        ),
-        "url-intervals",
-    )
+    intervals = validity_intervals(entries).where(F.col("action") != "remove")
+    laid = stored(in_buckets(intervals, rows, bucket_days), "url-intervals")
     active = salted_join(candidates, laid, ["pattern", "_bucket"], ["_key"]).where(
         (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until")))
     )

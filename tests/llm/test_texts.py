@@ -277,3 +277,20 @@ def test_held_out_rows_follow_the_crc(spark):
 
     rows = spark.range(200).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
+
+
+def test_far_off_captures_do_not_multiply_intervals(spark):
+    """Two hundred open entries, a capture of today and one of the year 9999."""
+    entries = spark.createDataFrame(
+        [(f"h{i}.example", "2024-01-01 00:00:00", "block") for i in range(200)],
+        "pattern string, listed_at string, action string",
+    ).selectExpr("pattern", "CAST(listed_at AS timestamp) AS listed_at", "action")
+    captures = spark.createDataFrame(
+        [(1, "http://h1.example/a", "2024-05-01 00:00:00"), (2, "http://h2.example/", "9999-12-01 00:00:00"),
+         (3, "http://h3.example/", "1000-01-01 00:00:00"), (4, "http://h4.example/", None)],
+        "page_id int, url string, fetched_at string",
+    ).selectExpr("page_id", "url", "CAST(fetched_at AS timestamp) AS fetched_at")
+    times = captures.selectExpr("fetched_at AS _at")
+    assert urls.in_buckets(urls.validity_intervals(entries), times, 30).count() == 400
+    got = {r.page_id: r.blocked for r in urls.judge_captures(captures, entries).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
