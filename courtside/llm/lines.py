@@ -371,11 +371,13 @@ def matched_lines(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
         pairs = stored(_candidates(asked, low, high, similarity), "line-pairs")
         if pairs.isEmpty():
             break
-        other = sets.select(F.col("key").alias("other"), F.col("words").alias("other_words"))
+        asked_for = pairs.select(F.explode(F.array("key", "other")).alias("key")).distinct()
+        words = sets.join(asked_for, "key", "left_semi")
+        other = words.select(F.col("key").alias("other"), F.col("words").alias("other_words"))
         both = F.size(F.array_intersect("words", "other_words"))
         together = F.size("words") + F.size("other_words") - both
         verified = stored(
-            pairs.join(sets, "key")
+            pairs.join(words, "key")
             .join(other, "other")
             .select("key", (both >= F.lit(similarity) * together - 1e-9).alias("similar"))
             .groupBy("key")
@@ -452,7 +454,7 @@ def dedup_lines(
 
     key = F.col(id_column).cast("long")
     joined = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_whole"),
+        F.struct(*[F.col(f"`{c}`") for c in columns if c != text_column]).alias("_whole"),
         F.col(text_column).cast("string").alias("_text"),
         F.coalesce(key, F.lit(0)).alias("_k"),
         key.isNull().alias("_nothing"),
