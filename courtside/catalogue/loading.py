@@ -76,9 +76,10 @@ _VIEW_COLUMNS = {
 def schema_catalog(v: Views) -> DataFrame:
     """Every declared column with the number of values the stored tables have in it."""
     counts = None
+    tables = v.stored(scratch_path(v.spark, "profiled"), ["player_game_log", PGTT])
     for name in _PROFILED:
         columns = _VIEW_COLUMNS[name]
-        one = v[name].agg(*[F.count(c).alias(c) for c in columns])
+        one = tables[name].agg(*[F.count(c).alias(c) for c in columns])
         long = one.unpivot([], columns, "column_name", "n_values")
         long = long.select(F.lit(name).alias("table_name"), "column_name", "n_values")
         counts = long if counts is None else counts.unionByName(long)

@@ -7,6 +7,8 @@ common table expressions for the check engine.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ ARRIVAL = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"]
 FACTS = {"lineitem", "orders", "events", "conversations"}
 LOG_STATS = "pts reb ast tov blk stl pf fgm fga fg3m fg3a".split()
 PGTT = "player_general_traditional_total"
+# Tasks for the lines of one split, which unpack to many times its size.
+_TASKS_A_SPLIT = 8
 STORED = ["team", "player", "game", "player_game_log", PGTT, "player_season"]
 
 
@@ -25,6 +29,36 @@ def padded(key: str) -> Column:
     return F.lpad(F.col(key).cast("string"), 10, "0")
 
 
+def game_logs(lines: DataFrame) -> DataFrame:
+    """Game logs made of order lines, with their arrival order."""
+    line, threes = F.col("l_linenumber"), F.round(F.col("l_discount") * 100)
+    made = F.floor(F.col("l_quantity") / 3)
+    stats = {
+        "pts": F.col("l_quantity"),
+        "reb": F.floor(F.col("l_quantity") / 4),
+        "ast": F.round(F.col("l_tax") * 100),
+        "tov": line,
+        "blk": threes,
+        "stl": line % 4,
+        "pf": line % 6,
+        "fgm": made,
+        "fga": made + line,
+        "fg3m": threes,
+        "fg3a": threes + line,
+    }
+    return lines.select(
+        F.col("l_partkey").cast("int").alias("player_id"),
+        padded("l_orderkey").alias("game_id"),
+        F.col("s_nationkey").alias("team_id"),
+        "season_id",
+        F.when(F.col("o_orderstatus") == "F", "W")
+        .when(F.col("o_orderstatus") == "O", "L")
+        .alias("wl"),
+        *[value.cast("float").alias(name) for name, value in stats.items()],
+        *ARRIVAL,
+    )
+
+
 class Views(dict):
     """Lazily built views of one data folder, by name."""
 
@@ -41,13 +75,17 @@ class Views(dict):
         self[name] = view
         return view
 
-    def stored(self, root: str) -> Views:
-        """The warehouse tables written under ``root``, each built from those before."""
+    def stored(self, root: str, names: Sequence[str] = STORED) -> Views:
+        """The named tables written under ``root``, each built from those before.
+
+        Their rows are written where they are: the partitions of the last join or aggregate
+        are large enough for a file a season.
+        """
         tables = Views(self.spark, self.folder)
-        for name in STORED:
+        for name in names:
             view = tables[name]
             keys = ["season_id"] if "season_id" in view.columns else []
-            writer = view.hint("rebalance", *keys).write
+            writer = view.write
             path = f"{root}/{name}"
             (writer.partitionBy(*keys) if keys else writer).parquet(path)
             tables[name] = self.spark.read.schema(view.schema).parquet(path)
@@ -94,47 +132,43 @@ class Views(dict):
             F.to_date("o_orderdate").alias("date"),
         )
 
-    def _raw_game_log(self) -> DataFrame:
+    def _log_lines(self, together: bool = False) -> DataFrame:
+        """Order lines with what the game logs need of their order and supplier.
+
+        ``together`` brings the lines of an order into one task, of as many tasks as keep
+        their sorts small where the session's number is too low for the input.
+        """
         orders = self.base("orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
         suppliers = self.base("supplier").select("s_suppkey", "s_nationkey")
-        joined = (
-            self.base("lineitem")
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        )
-        line, threes = F.col("l_linenumber"), F.round(F.col("l_discount") * 100)
-        made = F.floor(F.col("l_quantity") / 3)
-        stats = {
-            "pts": F.col("l_quantity"),
-            "reb": F.floor(F.col("l_quantity") / 4),
-            "ast": F.round(F.col("l_tax") * 100),
-            "tov": line,
-            "blk": threes,
-            "stl": line % 4,
-            "pf": line % 6,
-            "fgm": made,
-            "fga": made + line,
-            "fg3m": threes,
-            "fg3a": threes + line,
-        }
-        return joined.select(
-            F.col("l_partkey").cast("int").alias("player_id"),
-            padded("l_orderkey").alias("game_id"),
-            F.col("s_nationkey").alias("team_id"),
-            (F.year("o_orderdate") + 20000).cast("int").alias("season_id"),
-            F.when(F.col("o_orderstatus") == "F", "W")
-            .when(F.col("o_orderstatus") == "O", "L")
-            .alias("wl"),
-            *[value.cast("float").alias(name) for name, value in stats.items()],
-            *ARRIVAL,
-        )
+        lines = self.base("lineitem")
+        tasks = _TASKS_A_SPLIT * lines.rdd.getNumPartitions()
+        # Orders come last, so that the lines stay as that join brings them together.
+        lines = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        if together and tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            lines = lines.repartition(tasks, "l_orderkey")
+            orders = orders.repartition(tasks, "o_orderkey")
+        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        season = (F.year("o_orderdate") + 20000).cast("int").alias("season_id")
+        values = ["l_quantity", "l_discount", "l_tax"]
+        keys = ["l_orderkey", "l_partkey", "s_nationkey"]
+        return joined.select(*keys, season, "o_orderstatus", *values, *ARRIVAL)
+
+    def _raw_game_log(self) -> DataFrame:
+        return game_logs(self._log_lines())
 
     def _player_game_log(self) -> DataFrame:
         # A game lies in one season, so season_id adds nothing to the key; it lets a
-        # season filter move below the window, down to the orders scan.
-        first = dedupe_first(
-            self["raw_game_log"], ["player_id", "game_id", "season_id"], ARRIVAL
-        )
+        # season filter move below the window, down to the orders scan. The order stands for
+        # the game: since the join its lines are together and needn't be shuffled again, and
+        # they are narrower than the logs made of them.
+        together = self._log_lines(together=True)
+        lines = dedupe_first(together, ["l_orderkey", "l_partkey", "season_id"], ARRIVAL)
+        first = game_logs(lines)
+        # Only orders of more than ten characters may share a game_id, which is cut to ten.
+        order = F.col("o_orderkey")
+        long = self.base("orders").where((order > 9_999_999_999) | (order < -999_999_999))
+        if not long.isEmpty():
+            first = dedupe_first(first, ["player_id", "game_id", "season_id"], ARRIVAL)
         return first.drop(*ARRIVAL)
 
     def _player_general_traditional_total(self) -> DataFrame:
