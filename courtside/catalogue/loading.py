@@ -14,7 +14,7 @@ from courtside.operators.corpus import label_corpus
 from courtside.operators.report import summary_lines
 from courtside.plans.warehouse import load_all
 from courtside.schemas import TABLES, catalog_df, catalog_rows
-from courtside.session import scratch_path
+from courtside.session import scratch_path, stored
 from courtside.sources import feeds, files
 
 _ORDER = ", ".join(ARRIVAL)
@@ -342,9 +342,10 @@ def norm_player_season(v: Views) -> DataFrame:
 FROM {PGTT} WHERE season_id = 21998"""
 )
 def norm_season_totals(v: Views) -> DataFrame:
-    season = v[PGTT].filter(F.col("season_id") == _SEASON)
-    ranked = season.join(season_ranks(season, ["pts"]), ["player_id", "season_id"])
     columns = ["player_id", "team_id", "gp", "w", "l", "pts", "fg3m", "pts_rank"]
+    totals = v[PGTT].filter(F.col("season_id") == _SEASON).select("season_id", *columns[:-1])
+    season = stored(totals, "season-totals")
+    ranked = season.join(season_ranks(season, ["pts"]), ["player_id", "season_id"])
     raw = ranked.select(*[F.col(c).cast("string").alias(c.upper()) for c in columns])
     rows = feeds.normalise_totals(raw, "1998-99")
     return rows.select(
