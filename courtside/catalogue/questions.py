@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from courtside.catalogue import number, number_sql, query
 from courtside.fixtures import LOG_STATS, PGTT, Views, with_views
 from courtside.operators import aggregates, stats
+from courtside.session import stored
 
 SEASON = 21998
 SHOWN = ["gp", "pts", "reb", "ast", "stl", "blk", "tov", "fg3a", "fg3_pct"]
@@ -304,7 +305,8 @@ _RANKED = ["gp", "pts", "reb", "ast", "tov", "blk", "stl", "fg3_pct"]
     + f" FROM {PGTT}"
 )
 def season_ranks(v: Views) -> DataFrame:
-    return aggregates.season_ranks(v[PGTT], _RANKED)
+    totals = v[PGTT].select("player_id", "season_id", *_RANKED)
+    return aggregates.season_ranks(stored(totals, "totals"), _RANKED)
 
 
 _FROM_LOG = ["gp", "w", "l", *LOG_STATS]

@@ -119,7 +119,10 @@ def rank_values(
 def season_ranks(
     totals: DataFrame, stats: Sequence[str], ascending: Collection[str] = ()
 ) -> DataFrame:
-    """``<stat>_rank`` of every player within the season, largest first by default."""
+    """``<stat>_rank`` of every player within the season, largest first by default.
+
+    ``totals`` is read twice: pass a stored table.
+    """
     keys = ["player_id", "season_id"]
     long = totals.select(*keys, *[F.col(s).cast("double").alias(s) for s in stats]).unpivot(
         keys, list(stats), "stat", "value"
@@ -135,8 +138,10 @@ def season_ranks(
         ],
     )
     ranked = long.alias("l").join(ranks.alias("r"), same).select("l.*", "r.rank")
-    wide = ranked.groupBy(*keys).pivot("stat", list(stats)).agg(F.max("rank").cast("int"))
-    return wide.select(*keys, *[F.col(s).alias(f"{s}_rank") for s in stats])
+    # One plain aggregate: a pivot groups twice, first by statistic as well.
+    return ranked.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("stat") == s, F.col("rank"))).cast("int").alias(f"{s}_rank") for s in stats]
+    )
 
 
 def shooting_pcts(df: DataFrame) -> DataFrame:
