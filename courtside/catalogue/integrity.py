@@ -13,7 +13,7 @@ from courtside.operators import integrity as checks
 from courtside.operators import keys as k
 from courtside.plans.warehouse import SeasonInputs, apply_season
 from courtside.schemas import TABLES
-from courtside.session import pin, scratch_path
+from courtside.session import pin, scratch_path, stored
 from courtside.sources.files import replace_all as store_all
 
 KEY = ["player_id", "game_id"]
@@ -307,6 +307,8 @@ def season_increment(v: Views) -> DataFrame:
     twice (the later row counts), logs stored before win, and events of the first period
     that were stored before are there twice.
     """
+    # Every check and merge reads its tables again, so they are made once.
+    v = v.stored(scratch_path(v.spark, "increment"))
     known = v["player"].filter(F.col("draft_round").isNotNull())
     stored_log = v["player_game_log"].filter((F.col("season_id") <= 21998) & (F.col("pts") > 10))
     plus_one = {"pts": F.col("pts") + 1}
@@ -336,7 +338,7 @@ def season_increment(v: Views) -> DataFrame:
             late.withColumn(ARRIVAL[0], F.lit(1))
         ),
         totals=_season_feed(v, PGTT),
-        game_log=_season_feed(v, "raw_game_log"),
+        game_log=stored(_season_feed(v, "raw_game_log"), "feed-log"),
         play_by_play=_season_feed(v, "play_by_play").drop("PLAYER1_ID"),
     )
     after, _ = apply_season(state, inputs)
