@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtside.functions.cleaning import strip_plain
+from courtside.session import broadcast_if_small, pin
 
 GOLD, PRED = "gold", "pred"
 
@@ -95,14 +96,26 @@ def compare_ordered(long_df: DataFrame, examples: DataFrame | None = None) -> Da
     return _verdicts(_signed_counts(long_df, ["pos", "row"]), examples)
 
 
+def sums_of(rows: DataFrame, by: str, ordered: bool = False) -> DataFrame:
+    """``by``, and ``sums``: the number of its rows and a sum over hashes of them.
+
+    Equal results have equal sums, so unequal ones tell results apart without moving a row;
+    equal ones prove nothing.
+    """
+    hashed = F.xxhash64("pos", "row") if ordered else F.xxhash64("row")
+    # Decimals, as sums of longs would overflow.
+    total = F.sum(hashed.cast("decimal(20,0)"))
+    return rows.groupBy(by).agg(F.struct(F.count("*").alias("n"), total.alias("hash")).alias("sums"))
+
+
 def gapless_positions(
     rows: DataFrame, by: Sequence[str] = (), name: str = "pos"
 ) -> DataFrame:
     """Replace row ids in ``name`` by 1..n in their order, for each value of ``by``.
 
     ``rows`` must be stored: they are read twice, for the rows under each partition number
-    that the ids hold, and for themselves. Nothing sorts or gathers them; the offsets have
-    one row per partition of the job that gave the ids.
+    that the ids hold, and for themselves. Nothing sorts, gathers or shuffles them: the
+    offsets have one row per partition of the job that gave the ids, and are broadcast.
     """
     marked = rows.withColumn("_part", F.shiftright(name, 33))
     counts = marked.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min(name).alias("_first"))
@@ -111,7 +124,8 @@ def gapless_positions(
         *by, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     place = F.col("_before") + F.col(name) - F.col("_first") + 1
-    return marked.join(offsets, [*by, "_part"]).withColumn(name, place).drop("_part", "_first", "_before")
+    known = broadcast_if_small(pin(offsets))
+    return marked.join(known, [*by, "_part"]).withColumn(name, place).drop("_part", "_first", "_before")
 
 
 def with_positions(sorted_df: DataFrame, name: str = "pos") -> DataFrame:

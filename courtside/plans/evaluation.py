@@ -19,6 +19,7 @@ from courtside.operators.results import (
     compare_ordered,
     compare_results,
     gapless_positions,
+    sums_of,
 )
 from courtside.plans.statements import ordered_rows, run_statements
 from courtside.session import broadcast_if_small, pin, spread
@@ -84,8 +85,15 @@ def execute_pairs(
     judged = pin(keyed.join(gold, "_gold").join(pred, "_pred"))
     both_ran = F.col("gold_ok") & F.col("pred_ok")
     same = F.col("gold_id") == F.col("pred_id")
-    # Equal statements give equal results; only differing ones need their rows.
+    # Equal statements give equal results, and results with unequal sums differ; only the
+    # others need their rows.
     ran = judged.filter(both_ran & ~same).withColumn("example_id", F.col("pair_id"))
+    sums = pin(sums_of(rows, "statement_id", ordered))
+    for side in ("gold", "pred"):
+        named = sums.select(F.col("statement_id").alias(f"{side}_id"), F.col("sums").alias(f"_{side}_sums"))
+        ran = ran.join(broadcast_if_small(named), f"{side}_id", "left")
+    alike = F.col("_gold_sums").eqNullSafe(F.col("_pred_sums"))
+    ran = pin(ran.filter(alike).select("example_id", "gold_id", "pred_id"))
     sides = ran.select(
         "example_id",
         F.explode(

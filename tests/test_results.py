@@ -58,3 +58,19 @@ def test_result_preview(spark, n, limit):
     if n > limit:
         lines.append(f"... ({n - limit} rows not shown)")
     assert got == {1: "\n".join([*lines, ""]), 2: "(no rows returned)"}
+
+
+def test_positions_do_not_shuffle_the_rows(spark):
+    df = pin(spark.range(100).repartition(5).sort("id"))
+    numbered = results.with_positions(df)
+    assert "Exchange hashpartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert [r.pos for r in numbered.sort("id").collect()] == list(range(1, 101))
+
+
+def test_sums_tell_results_apart_without_order_or_with(spark):
+    rows = [(1, 1, ["a"]), (1, 2, ["b"]), (2, 1, ["b"]), (2, 2, ["a"]), (3, 1, ["a"]), (4, 1, ["a"]), (4, 2, ["a"])]
+    frame = spark.createDataFrame(rows, "statement_id long, pos long, row array<string>")
+    bags = {r.statement_id: r.sums for r in results.sums_of(frame, "statement_id").collect()}
+    lists = {r.statement_id: r.sums for r in results.sums_of(frame, "statement_id", True).collect()}
+    assert bags[1] == bags[2] and len(set(bags.values())) == 3
+    assert len(set(lists.values())) == 4
