@@ -34,9 +34,9 @@ def _starts_visibly(text: Column) -> Column:
     return F.ascii(text).between(33, 126)
 
 
-def strip_plain(name: str) -> Column:
+def strip_plain(name: str | Column) -> Column:
     """``strip`` of a text column itself; only values with odd ends meet the pattern."""
-    text = F.col(f"`{name}`")
+    text = F.col(f"`{name}`") if isinstance(name, str) else name
     clean_ends = _starts_visibly(text) & _starts_visibly(F.right(text, F.lit(1)))
     return F.when(clean_ends, text).otherwise(strip(text))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.functions.cleaning import strip
+from courtside.functions.cleaning import strip, strip_plain
 from courtside.functions.sqltext import (
     clean_sql,
     difficulty_label,
@@ -244,16 +244,33 @@ def predict_sql(
 
 
 def _dedent(text: Column) -> Column:
-    """Drop the margin all non-blank lines share, then strip."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "^[ \t]+$", ""))
-    margin = F.array_min(
-        F.transform(
-            F.filter(lines, lambda x: x != ""),
-            lambda x: F.length(F.regexp_extract(x, "^ *", 0)),
-        )
+    """Drop the margin all non-blank lines share, then strip.
+
+    Lines and margin are bound by a ``transform`` over one element each: inside the cut of a
+    line they would be worked out again for every line.
+    """
+
+    def line(x: Column) -> Column:
+        # Blanks before the end of a line go, also before an ending that is no line feed.
+        bare = F.ltrim(x, F.lit(" \t"))
+        return F.when(bare.isin("", "\r", "\x85", "\u2028", "\u2029"), bare).otherwise(x)
+
+    lines = F.transform(F.split(text, "\n"), line)
+
+    def margin(every: Column) -> Column:
+        filled = F.filter(every, lambda x: x != "")
+        return F.array_min(F.transform(filled, lambda x: F.length(x) - F.length(F.ltrim(x))))
+
+    measured = F.transform(
+        F.array(lines), lambda every: F.struct(every.alias("lines"), margin(every).alias("margin"))
+    )
+    cut = F.transform(
+        measured,
+        lambda m: F.array_join(
+            F.transform(m["lines"], lambda x: F.substring(x, m["margin"] + 1, F.length(x))), "\n"
+        ),
     )
-    cut = F.transform(lines, lambda x: F.substring(x, margin + 1, F.length(x)))
-    return strip(F.array_join(cut, "\n"))
+    return F.transform(F.transform(cut, lambda x: F.trim(x, F.lit(" \n\t\r"))), strip_plain)[0]
 
 
 def judge_prompt(

@@ -1,4 +1,6 @@
+import re
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,28 @@ def test_judge_prompt_is_dedented_as_a_whole(spark, question, sql, preview, erro
     assert c.judge_prompt(df).first().prompt == want
 
 
+@pytest.mark.parametrize("end", ["\r", "\x85", "\u2028", "\n", "\x0b", "\u00a0", " \t"])
+def test_dedent_of_odd_blanks(spark, end):
+    """Against the patterns that the trims stand for."""
+    texts = [f"  a\n   {end}\n  b {end}", f"{end} x", f"   {end}   ", f"\n\t {end}\n   c\n {end}d\n", end]
+    for text in texts:
+        lines = [re.sub(r"^[ \t]+(?=[\r\x85\u2028\u2029]?\Z)", "", x) for x in text.split("\n")]
+        margins = [len(x) - len(x.lstrip(" ")) for x in lines if x != ""]
+        want = "\n".join(x[min(margins) :] for x in lines).strip() if margins else ""
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(c._dedent(F.col("t"))).first()[0] == want
+
+
+def test_prompt_of_many_lines_takes_linear_time(spark):
+    text = "\n".join(f"    line {i}" for i in range(8000))
+    schema = "question string, sql string, preview string, error string"
+    df = spark.createDataFrame([(text, "SELECT 1", "p", "")], schema)
+    began = time.monotonic()
+    prompt = c.judge_prompt(df).first().prompt
+    assert time.monotonic() - began < 10
+    assert "\nline 7999\n" in prompt
+
+
 def test_predictor_is_made_once_per_partition(spark):
     def make():
         calls = []
