@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,18 @@ OUTPUT = (
     "doc_id string, start bigint, length bigint, ids binary, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, leftover boolean"
 )
+_ARROW = pa.schema(
+    [
+        ("doc_id", pa.string()),
+        ("start", pa.int64()),
+        ("length", pa.int64()),
+        ("ids", pa.binary()),
+        ("doc_tokens", pa.int64()),
+        ("sequence_id", pa.int64()),
+        ("offset", pa.int64()),
+        ("leftover", pa.bool_()),
+    ]
+)
 # A partition's own sequences are numbered below this; the partition number stands above.
 _PER_PARTITION = 1 << 36
 
@@ -89,6 +102,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
 def _rows(pieces: list[tuple], sequence: int, leftover: bool) -> Iterator[tuple]:
     offset = 0
     for doc, start, ids, total in pieces:
@@ -124,22 +142,22 @@ def pack(
     their own; an empty table gives no rows. Other columns are left out.
     """
 
-    def pack_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         windows = Windows(size, slots, top_up)
         sequence = TaskContext.get().partitionId() * _PER_PARTITION
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.encode(text or "", end_id)
+            texts = encoder.encode_all(batch.column("text"), end_id)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 for pieces in windows.add(doc, ids):
                     rows.extend(_rows(pieces, sequence, False))
                     sequence += 1
                 if len(rows) >= 4096:
-                    yield _frame(rows)
+                    yield _batch(rows)
                     rows = []
             if rows:
-                yield _frame(rows)
+                yield _batch(rows)
         whole, rest = windows.merge()
         rows = []
         for pieces in whole:
@@ -147,7 +165,7 @@ def pack(
             sequence += 1
         rows.extend(_rows(rest, sequence, True))
         if rows:
-            yield _frame(rows)
+            yield _batch(rows)
 
     def merge_group(frame: pd.DataFrame) -> pd.DataFrame:
         windows = Windows(size, 1 << 30, 0)
@@ -167,7 +185,7 @@ def pack(
     narrow = docs.select(
         F.col(id_column).cast("string").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
-    packed = stored(narrow.mapInPandas(pack_partition, OUTPUT), "packed")
+    packed = stored(narrow.mapInArrow(pack_partition, OUTPUT), "packed")
     partition = F.col("sequence_id") / F.lit(float(_PER_PARTITION))
     group = F.floor(F.floor(partition) / F.lit(merge_partitions))
     merged = (

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from courtside.llm.tokens import gathered
+
 _ID = "<u4"
 # Texts are encoded in slices of about so many bytes; a longer text is cut at white space.
 _SLICE = 8 << 20
@@ -17,18 +19,6 @@ _BLANKS = " \n\t\r"
 _MARKS = ".,"
 
 
-def _gathered(
-    values: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``at`` of ``values`` one behind the other, and where each begins."""
-    many = sizes[at].astype(np.int32)
-    upto = np.zeros(len(at) + 1, np.int32)
-    np.cumsum(many, out=upto[1:])
-    places = np.repeat(begins[at].astype(np.int32) - upto[:-1], many)
-    places += np.arange(upto[-1], dtype=np.int32)
-    return values[places], upto
-
-
 class WordEncoder:
     """Encodes with a file of the ``tokenizers`` library that drops white space and case.
 
@@ -112,7 +102,7 @@ class WordEncoder:
         if len(self.places) + len(missing) > self.memory:
             known = [w for w, at in zip(words, found, strict=True) if at is not None]
             kept = np.array([at for at in found if at is not None], dtype=np.int64)
-            self.ids, upto = _gathered(self.ids, self.begins, self.sizes, kept)
+            self.ids, upto = gathered(self.ids, self.begins, self.sizes, kept)
             self.begins, self.sizes = upto[:-1].astype(np.int64), self.sizes[kept]
             self.places = dict(zip(known, range(len(known)), strict=True))
         new, ids, sizes = self._new_words(missing)
@@ -147,12 +137,12 @@ class WordEncoder:
         ]]
         # The ids of every distinct word with its mark, then those of all words in order.
         pairs = np.stack([first, behind], axis=1).ravel()
-        ids, upto = _gathered(
+        ids, upto = gathered(
             self.ids, np.append(self.begins, 0), np.append(self.sizes, 0), pairs
         )
         starts = upto[::2]
         at = coded.indices.to_numpy(zero_copy_only=False)
-        ids, upto = _gathered(ids, starts[:-1], np.diff(starts), at)
+        ids, upto = gathered(ids, starts[:-1], np.diff(starts), at)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
 

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from courtside.llm import chat, decontaminate, packing, quality, urls
@@ -77,6 +78,27 @@ class TestPacking:
             assert encoder.encode(text, 1).tolist() == [*want, 1]
 
 
+    def test_words_of_many_texts_are_encoded_once(self, monkeypatch):
+        encoder, given = Encoder(tokenizer_path()), []
+        whole = encoder._whole
+        monkeypatch.setattr(encoder, "_whole", lambda text: given.append(text) or whole(text))
+        texts = [f"{first} lorem, ipsum.\n{first} dolor, lorem ipsum, dolor." for first in "abcdefgh" * 50]
+        texts += [None, "", "'s it's\nx", "a\u0300, b\u0300.", "ipsum  lorem.", "lorem.,. ipsum,,"]
+        got = list(encoder.encode_all(pa.array(texts, pa.string()), 1))
+        want = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert [ids.tolist() for ids in got] == [[*w.ids, 1] for w in want]
+        assert sum(map(len, given)) < 300
+
+    def test_a_small_memory_changes_no_ids(self):
+        encoder = Encoder(tokenizer_path(), memory=8)
+        texts = [f"w{i % 13} x{i % 7}, \u00e9{i}.\ny" if i % 5 else f"w{i}\t{i}" for i in range(60)]
+        want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        for at in range(0, 60, 10):
+            got = list(encoder.encode_all(pa.array(texts[at : at + 10]), 1))
+            assert [ids.tolist() for ids in got] == [[*w.ids, 1] for w in want[at : at + 10]]
+            assert len(encoder.pieces) <= 8 + 60
+
+
 class TestChat:
     ROWS = [
         (1, 0, "system", "s"),
