@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,13 @@ METADATA = ("log_n_chars", "n_chars_missing")
 _SLICE = 512
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short slices: a batch's texts and features are never all Python objects at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(begin, _SLICE)
+
+
 class Features:
     """Sparse features of whole texts: hashed words, then structure, then metadata."""
 
@@ -216,23 +223,25 @@ def fit_quality(
         size.alias("_size"),
     )
 
-    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(buckets)
-        for batch in batches:
-            found = [features.of(t, s) for t, s in zip(batch["_text"], batch["_size"], strict=True)]
-            yield pd.DataFrame(
-                {
-                    "_id": batch["_id"],
-                    "_y": batch["_y"],
-                    "ids": [ids.astype("<i4").tobytes() for ids, _ in found],
-                    "values": [values.astype("<f4").tobytes() for _, values in found],
-                }
+        for part in _slices(batches):
+            texts, sizes = part.column("_text").to_pylist(), part.column("_size").to_pylist()
+            found = [features.of(t, s) for t, s in zip(texts, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("_id"),
+                    part.column("_y"),
+                    pa.array([ids.astype("<i4").tobytes() for ids, _ in found], pa.binary()),
+                    pa.array([values.astype("<f4").tobytes() for _, values in found], pa.binary()),
+                ],
+                names=["_id", "_y", "ids", "values"],
             )
 
     # The list of ids is bounded by max_labelled, hence the broadcast.
     rows = (
         narrow.join(F.broadcast(wanted), "_id")
-        .mapInPandas(featurise, "_id bigint, _y int, ids binary, values binary")
+        .mapInArrow(featurise, "_id bigint, _y int, ids binary, values binary")
         .groupBy("_id", "_y")
         .agg(F.min(F.struct("ids", "values")).alias("row"))
         .orderBy("_id")
@@ -260,24 +269,19 @@ def score_quality(
     kept = [c for c in docs.columns if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         machine = shared.value
         features = Features(machine.buckets)
         for texts, sizes in batches:
             parts = []
-            for begin in range(0, len(texts), _SLICE):
-                rows = [
-                    features.of(t or "", s)
-                    for t, s in zip(
-                        texts.iloc[begin : begin + _SLICE], sizes.iloc[begin : begin + _SLICE], strict=True
-                    )
-                ]
+            for part in _slices([pa.RecordBatch.from_arrays([texts, sizes], names=["text", "size"])]):
+                rows = [features.of(t, s) for t, s in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 counts = np.array([len(ids) for ids, _ in rows])
                 starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
                 ids, values = (np.concatenate(x) for x in zip(*rows, strict=True))
                 parts.append(_sigmoid(machine.margins(ids, values, starts)))
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     size = F.col(size_column).cast("double") if size_column else F.lit(None).cast("double")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
