@@ -235,6 +235,18 @@ class TestSuffix:
             assert sum(b - a for a, b in runs) == r.n_bytes - len(r.kept)
             assert all(b < c for (_, b), (c, _) in zip(runs, runs[1:]))
 
+    def test_ranks_tell_exactly_the_depth(self):
+        data = np.random.default_rng(3).integers(97, 99, 400).astype(np.uint8)
+        texts = data.tobytes()
+        for depth in (5, 8, 12, 20):
+            order, rank = suffix.suffix_array(data, depth)
+            alike = [texts[i : i + depth] for i in order]
+            assert alike == sorted(alike)
+            ranks = rank[order].tolist()
+            assert [a == b for a, b in zip(alike, alike[1:], strict=False)] == [
+                a == b for a, b in zip(ranks, ranks[1:], strict=False)
+            ]
+
     def test_suffix_array_and_prefixes(self):
         draw = np.random.default_rng(6)
         data = np.concatenate([draw.integers(97, 99, 300), np.full(60, 98), draw.integers(97, 99, 300)]).astype(np.uint8)
