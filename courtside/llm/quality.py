@@ -27,6 +27,8 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, _SLICE):
             yield batch.slice(begin, _SLICE)
+        # Workers live on after a task; what a batch took goes back at once.
+        pa.default_memory_pool().release_unused()
 
 
 class Features:

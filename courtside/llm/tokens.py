@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 _ID = "<u4"
 # Texts are encoded in slices of about so many bytes.
-_SLICE = 6 << 20
+_SLICE = 4 << 20
 # Pieces that are encoded in one call.
 _GROUP = 256
 _MARKS = ".,"
@@ -187,6 +187,8 @@ class Encoder:
             for ids in found:
                 yield np.concatenate([ids, end])
             first = last
+            # Workers live on after a task; what a slice took goes back at once.
+            pa.default_memory_pool().release_unused()
 
     def encode(self, text: str, end_id: int) -> np.ndarray:
         """The ids of ``text`` (unsigned 32-bit), then ``end_id``."""

@@ -320,7 +320,7 @@ def test_far_off_captures_do_not_multiply_intervals(spark):
 
 def test_quality_takes_a_batch_in_short_slices():
     """Features of a whole batch at once took 180 MB of a worker on 6,410 documents."""
-    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["n"]) for n in (1300, 0, 7)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], names=["n"]) for n in (1300, 0, 7)]
     parts = list(quality._slices(batches))
     assert [p.num_rows for p in parts] == [512, 512, 276, 7]
     assert pa.Table.from_batches(parts) == pa.Table.from_batches(batches)
