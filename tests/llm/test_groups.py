@@ -112,6 +112,57 @@ class TestLines:
         near &= (i != j) & (rows["token"][i] == rows["token"][j])
         assert (got == near.any(axis=1)).all()
 
+    def test_long_lines_under_common_words_are_told_apart(self, spark):
+        draw = np.random.default_rng(3)
+        texts = [" ".join(f"w{i}" for i in draw.choice(2000, 250, replace=False)) for _ in range(40)]
+        texts.append(texts[0] + " more")
+        rows = list(enumerate(texts))
+        docs = spark.createDataFrame(rows, "_id bigint, _text string").selectExpr("_id", "_id AS _hash", "_text")
+        ranks, size = lines._word_ranks(docs)
+        assert size == sum(map(len, texts))
+        table = lines._line_table(docs, ranks, 0.8)
+        keys = {r.key for r in table.where("doc IN (0, 40)").collect()}
+        # Any two share words, and nothing but the near copy has a partner.
+        assert {r.key for r in lines._survivors(table, 0.8, 4).collect()} == keys and len(keys) == 2
+
+    def test_lines_of_many_sizes_at_low_similarity(self, spark):
+        draw = np.random.default_rng(4)
+        sets = [set(draw.choice(300, size, replace=False).tolist()) for size in draw.integers(1, 260, 60)]
+        texts = [" ".join(f"w{i}" for i in found) for found in sets]
+        similarity = 0.3
+        near = [any(len(x & y) >= similarity * len(x | y) - 1e-9 for y in sets[:i]) for i, x in enumerate(sets)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs, similarity).collect()}
+        assert got == {i: int(x) for i, x in enumerate(near)} and 0 < sum(near) < len(near)
+
+    @pytest.mark.parametrize("stride", [8, 1 << 16])
+    def test_words_are_those_of_split(self, monkeypatch, stride):
+        monkeypatch.setattr(lines, "_STRIDE", stride)
+        lines._cached_powers.cache_clear()
+        blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+        texts = ["", "\n", " a\nAB a", "ΑΣ\nΑΣ x\x1cy"] + [f"ab{x}Ab{x}{x}ba \n{x}" for x in blanks]
+        split = [line.lower().split() for text in texts for line in text.split("\n")]
+        counts, hashed = lines._words(texts)
+        lines._cached_powers.cache_clear()
+        assert counts.tolist() == [len(words) for words in split]
+        flat = [word for words in split for word in words]
+        assert len(set(zip(flat, hashed.tolist(), strict=True))) == len(set(flat)) == len(set(hashed.tolist()))
+
+    def test_groups_cut_into_blocks_find_the_same(self, monkeypatch):
+        draw = np.random.default_rng(5)
+        size = 1500
+        n = draw.integers(5, 200, size)
+        rows = {
+            "token": np.sort(draw.integers(1, 4, size)),
+            "n": n,
+            "pos": draw.integers(0, 3, size),
+            **lines._spread_bits(n, draw.integers(0, 1 << 12, lines._widths(n).sum()).astype(np.uint64)),
+        }
+        want = lines._partnered(rows, 0.8)
+        monkeypatch.setattr(lines, "_LARGE", 40)
+        monkeypatch.setattr(lines, "_BLOCK", 64)
+        assert (lines._partnered(rows, 0.8) == want).all() and 0 < want.sum() < size
+
     def test_empty_table(self, docs):
         assert lines.dedup_lines(docs.limit(0)).count() == 0
 
