@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +25,9 @@ OUTCOME_SCHEMA = (
 )
 
 
+# Found in every statement with a ``NOT IN`` or ``NOT (… IN …)``, and in others.
+_NOT_IN = re.compile(r"(?is)\bnot\b.*\bin\b")
+
 # The condition of a statement that ran out of time.
 TIMEOUT = "STATEMENT_TIMEOUT"
 
@@ -104,6 +107,21 @@ def _result_rows(statement_id: int, df: DataFrame) -> DataFrame:
     return _shaped(statement_id, renamed, F.lit(None), row_array(renamed))
 
 
+def _beside_one_row(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The same rows, as a lateral subquery beside one row.
+
+    Spark simplifies a plan once more where it stands below a lateral join, after it has made
+    joins of the subqueries. A ``NOT IN`` between columns that can't be NULL is an ordinary
+    anti-join then; else its rows are always broadcast, however many there are. Rows that
+    hang on chance or on their place can't stand there, and are returned as they are.
+    """
+    one = F.broadcast(spark.sql("SELECT 1 AS _one"))
+    try:
+        return one.lateralJoin(rows).select(*rows.columns)
+    except AnalysisException:
+        return rows
+
+
 def first_rows(max_rows: int) -> Callable[[int, DataFrame], DataFrame]:
     """A shape for previews: the first rows in order, and the number of all rows.
 
@@ -282,6 +300,8 @@ def run_statements(
                     failures.clear()
                 continue
             rows = shape(statement_id, outcome.df)
+            if _NOT_IN.search(sql):
+                rows = _beside_one_row(spark, rows)
             waiting.append(Waiting(statement_id, sql, outcome.df.columns, rows))
             if len(waiting) == chunk:
                 start()

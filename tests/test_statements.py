@@ -5,7 +5,15 @@ import pytest
 from courtside.catalogue.evaluation import GOLD_STATEMENTS
 from courtside.plans.ask import ask
 from courtside.plans.evaluation import evaluate
-from courtside.plans.statements import TIMEOUT, run_sql, run_statements, unknown_qualifier
+from courtside.plans.statements import (
+    TIMEOUT,
+    _beside_one_row,
+    ordered_rows,
+    run_sql,
+    run_statements,
+    unknown_qualifier,
+)
+from courtside.session import without_nulls
 
 
 @pytest.fixture(scope="module")
@@ -182,3 +190,60 @@ def test_ordered_evaluation(spark, table):
     bags = {r.name: r.correct for r in evaluate(spark, examples).collect()}
     assert [bags[n] for n in ("turned", "swapped", "null_is_not_blank", "blanks_count")] == [1, 1, 1, 1]
     spark.catalog.dropTempView("numbers")
+
+
+NOT_IN = "SELECT k FROM many WHERE k NOT IN (SELECT k FROM some WHERE v = 'x')"
+
+
+def _broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_not_in_between_full_columns_is_no_broadcast(spark, tmp_path):
+    """The rows of the subquery go to the driver only if a NULL may be among them."""
+    spark.range(100).selectExpr("CAST(id AS int) AS k").write.parquet(f"{tmp_path}/many")
+    rows = [(1, "x"), (1, "x"), (2, "y"), (3, "x")]
+    spark.createDataFrame(rows, "k int, v string").write.parquet(f"{tmp_path}/full")
+    spark.createDataFrame([*rows, (None, "x")], "k int, v string").write.parquet(f"{tmp_path}/gaps")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        without_nulls(spark.read.parquet(f"{tmp_path}/many"), ["k"]).createOrReplaceTempView("many")
+        for name, left in (("full", 98), ("gaps", 0)):
+            some = without_nulls(spark.read.parquet(f"{tmp_path}/{name}"), ["k", "v"])
+            some.createOrReplaceTempView("some")
+            planned = _beside_one_row(spark, run_sql(spark, NOT_IN).df)
+            assert _broadcasts(planned) == (name == "gaps")
+            got, outcomes = run_statements(spark, [(0, NOT_IN)])
+            assert (got.count(), outcomes.first().ok) == (left, True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        for name in ("many", "some"):
+            spark.catalog.dropTempView(name)
+
+
+def test_only_columns_without_nulls_are_known_to_have_none(spark):
+    made = spark.createDataFrame([(1, None, "a", 0.5), (0, 2, "", None)], "a int, b int, c string, d double")
+    known = without_nulls(made, ["a", "b", "c", "nothing"])
+    assert [f.nullable for f in known.schema] == [False, True, False, True]
+    assert known.schema.simpleString() == made.schema.simpleString()
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, made.collect()))
+
+
+def test_order_and_chance_with_not_in(spark):
+    """Rows keep their places, and a result may hang on chance."""
+    texts = [
+        "SELECT id FROM range(0, 5000, 1, 7) WHERE id NOT IN (9, 5000) ORDER BY id DESC",
+        "SELECT count(*) AS n FROM (SELECT rand() AS r FROM range(10)) WHERE r NOT IN (2, 3)",
+        "SELECT rand() < 2 AS sure FROM range(3) WHERE NOT id IN (SELECT 4)",
+    ]
+    rows, outcomes = run_statements(spark, list(enumerate(texts)), shape=ordered_rows)
+    assert all(r.ok for r in outcomes.collect())
+    in_order = rows.where("statement_id = 0").orderBy("pos").collect()
+    assert [int(r.row[0]) for r in in_order] == [i for i in range(4999, -1, -1) if i != 9]
+    assert [r.row for r in rows.where("statement_id = 1").collect()] == [["10"]]
+    assert [r.row for r in rows.where("statement_id = 2").collect()] == [["true"]] * 3
+    bags, _ = run_statements(spark, list(enumerate(texts)))
+    assert bags.where("statement_id = 0").count() == 4999
+    others = sorted(r.row for r in bags.where("statement_id > 0").collect())
+    assert others == [["10"], *[["true"]] * 3]
