@@ -21,12 +21,13 @@ REASONS = "_reasons"
 
 
 def _add(df: DataFrame, reasons: Sequence[Column]) -> DataFrame:
-    """Append the non-NULL reason texts to the row's list."""
-    found = F.array_compact(F.array(*reasons)) if reasons else F.array()
-    found = found.cast("array<string>")
-    if REASONS in df.columns:
-        found = F.concat(REASONS, found)
-    return df.withColumn(REASONS, found)
+    """Append the non-NULL reason texts to the row's list. Lists are built only where there are any."""
+    before = F.col(REASONS) if REASONS in df.columns else F.array().cast("array<string>")
+    if not reasons:
+        return df.withColumn(REASONS, before)
+    found = F.concat(before, F.array_compact(F.array(*reasons)).cast("array<string>"))
+    some = F.coalesce(*reasons).isNotNull()
+    return df.withColumn(REASONS, F.when(some, found).otherwise(before))
 
 
 def is_good() -> Column:

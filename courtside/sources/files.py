@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,19 +50,27 @@ def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     )
 
 
-def _clean_column(name: str, target: T.DataType) -> tuple[Column, Column | None]:
-    """A CSV text column's typed value, and the test that it could not be read."""
+def _clean_column(name: str, target: T.DataType) -> tuple[Column, Column, Column | None]:
+    """A CSV text column's typed value, a quick doubt about it, and the reason it was not read.
+
+    There is a doubt where a text gave no value. Texts that are plain numbers or dates need no
+    test for missing-value spellings, as none of these is one.
+    """
     present = blank_to_null(na_to_null(name))
     if isinstance(target, T.StringType):
-        return present, None
+        return present, F.lit(False), None
     if name in INT_COLUMNS:
         value = truncated_int(present).cast(target)
     else:
         value = present.try_cast(target)
+    plain = F.col(name).try_cast(target)
     if isinstance(target, T.FloatType):
         value = F.when(~real_overflows(present), value)
+        plain = F.when(F.abs(plain) < float("inf"), plain)
+    quick = F.coalesce(plain, value)
     unreadable = present.isNotNull() & value.isNull()
-    return value, F.when(unreadable, f"{name}: not a valid {target.simpleString()}")
+    doubt = F.col(name).isNotNull() & quick.isNull()
+    return quick, doubt, F.when(unreadable, f"{name}: not a valid {target.simpleString()}")
 
 
 def clean_row(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -69,24 +79,30 @@ def clean_row(df: DataFrame, spec: TableSpec) -> DataFrame:
     Missing-value spellings and blanks become NULL; the declared integer columns are
     truncated. A column the table does not have makes every row bad. A bad number
     sets its row aside; it does not end the load. Row ids are kept where the file has them.
+
+    Reasons are looked for only in rows with a doubt: Spark interprets them, column by column.
     """
     known = set(spec.columns)
-    values, reasons = [], []
+    values, doubts, reasons = [], [], []
     for column in spec.columns if spec.serial in df.columns else spec.loaded_columns:
         target = spec.schema[column].dataType
         if column not in df.columns:
             values.append(F.lit(None).cast(target).alias(column))
             continue
-        value, reason = _clean_column(column, target)
+        value, doubt, reason = _clean_column(column, target)
         values.append(value.alias(column))
         if reason is not None:
+            doubts.append(doubt)
             reasons.append(reason)
-    reasons += [
-        F.lit(f"unknown column: {c}") for c in df.columns if c not in known and c != ARRIVAL
-    ]
-    found = F.array_compact(F.array(*reasons)) if reasons else F.array()
+    unknown = [c for c in df.columns if c not in known and c != ARRIVAL]
+    if unknown:
+        doubts.append(F.lit(True))
+        reasons += [F.lit(f"unknown column: {c}") for c in unknown]
+    nothing = F.array().cast("array<string>")
+    found = F.array_compact(F.array(*reasons)).cast("array<string>") if reasons else nothing
+    doubtful = reduce(or_, doubts, F.lit(False))
     carried = [ARRIVAL] if ARRIVAL in df.columns else []
-    return df.select(*values, *carried, found.cast("array<string>").alias(REASONS))
+    return df.select(*values, *carried, F.when(doubtful, found).otherwise(nothing).alias(REASONS))
 
 
 def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
