@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from courtside.operators.keys import OrderCols
 from courtside.schemas import TableSpec
-from courtside.session import broadcast_if_small, is_small, pin
+from courtside.session import broadcast_if_small, is_small, pin, stored
 
 REASONS = "_reasons"
 
@@ -106,12 +106,13 @@ def flag_orphans(df: DataFrame, spec: TableSpec, parents: dict[str, DataFrame])
     """Add a reason for each foreign key without a parent.
 
     The orphan keys are few in a sane feed: once counted they are broadcast and the
-    wide child rows are not shuffled. Beyond the limit it is an ordinary join.
+    wide child rows are not shuffled. Beyond the limit those of each column are counted,
+    whose limit is higher; beyond that it is an ordinary join.
     """
     keys = _key_structs(df, spec, parents)
     if not keys:
         return _add(df, [])
-    orphans = pin(orphan_keys(df, spec, parents))
+    orphans = stored(orphan_keys(df, spec, parents), "orphans")
     all_small = is_small(orphans)
     out, reasons = df, []
     for fk in keys:
@@ -134,12 +135,13 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], order_cols: OrderCols) -
     """
     arrival = F.struct(*order_cols)
     eligible = df.filter(is_good()) if REASONS in df.columns else df
-    repeated = pin(
+    repeated = stored(
         eligible.dropna(subset=list(keys))
         .groupBy(*keys)
         .agg(F.count("*").alias("_n"), F.min(arrival).alias("_first"))
         .filter(F.col("_n") > 1)
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_first")
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_first"),
+        "repeated",
     )
     joined = df.join(
         broadcast_if_small(repeated), [F.col(k) == F.col(f"_key_{k}") for k in keys], "left"

@@ -35,7 +35,7 @@ from courtside.operators.keys import (
 )
 from courtside.plans.versions import SEASON, Draft
 from courtside.schemas import LOAD_ORDER, TABLES, TableSpec
-from courtside.session import pin, scratch_path
+from courtside.session import DROP_SHUFFLES, OPEN_FOLDERS, configured, pin, scratch_path
 from courtside.sources.dims import event_message_types
 from courtside.sources.feeds import (
     normalise_game,
@@ -112,10 +112,10 @@ def load_all(
         flagged = flag_rows(rows, spec, parents, [ARRIVAL]).withColumn("_ok", is_good())
         path = f"{out_dir}/{name}"
         partitions = ["_ok", SEASON] if SEASON in spec.columns else ["_ok"]
-        # Rebalancing sizes the files: neither one per task and season nor one per season.
-        flagged.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(
-            *partitions
-        ).parquet(path)
+        # The wide rows stay where they are: a shuffle, or a sort that spills, would take several
+        # times the table's space. Tasks read large splits, so that their files aren't many.
+        with configured(spark, DROP_SHUFFLES | OPEN_FOLDERS):
+            flagged.write.mode("overwrite").partitionBy(*partitions).parquet(path)
         columns = [F.col(c) for c in spec.columns]
         stored = spark.read.schema(flagged.schema).parquet(path)
         staged[name] = stored

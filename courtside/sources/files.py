@@ -18,7 +18,7 @@ from courtside.functions.cleaning import (
 )
 from courtside.operators.integrity import REASONS
 from courtside.schemas import INT_COLUMNS, TableSpec
-from courtside.session import pin
+from courtside.session import DROP_SHUFFLES, configured, pin
 
 ARRIVAL = "_arrival"
 
@@ -63,7 +63,8 @@ def _clean_column(name: str, target: T.DataType) -> tuple[Column, Column, Column
         value = truncated_int(present).cast(target)
     else:
         value = present.try_cast(target)
-    plain = F.col(name).try_cast(target)
+    whole = name in INT_COLUMNS and isinstance(target, T.FloatType)
+    plain = F.col(name).try_cast("int").cast(target) if whole else F.col(name).try_cast(target)
     if isinstance(target, T.FloatType):
         value = F.when(~real_overflows(present), value)
         plain = F.when(F.abs(plain) < float("inf"), plain)
@@ -226,18 +227,22 @@ def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return corpus
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+def write_csv(
+    df: DataFrame, path: str, columns: list[str] | None = None, compression: str | None = None
+) -> None:
     """CSV with a header and a fixed column order; quotes are doubled, outer blanks stay."""
     out = df.select(*columns) if columns else df
-    out.write.csv(
-        path,
-        header=True,
-        mode="overwrite",
-        quote='"',
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    with configured(df.sparkSession, DROP_SHUFFLES):
+        out.write.csv(
+            path,
+            header=True,
+            mode="overwrite",
+            compression=compression,
+            quote='"',
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
 
 
 def write_summary(lines: DataFrame, folder: str, at: datetime | None = None) -> str:

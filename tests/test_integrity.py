@@ -87,6 +87,16 @@ def test_many_orphans_take_the_plain_join(spark, rows, monkeypatch):
     assert orphaned == {r[4] for r in rows if "no such" in " ".join(wanted(r))}
 
 
+def test_a_column_of_many_orphans_does_not_shuffle_the_rows(spark):
+    """Before, 200,001 orphan keys sent all rows of the table through a shuffle."""
+    df = spark.range(250_000).selectExpr("CAST(id AS int) AS player_id", "id AS o")
+    players = spark.createDataFrame([(i,) for i in range(10)], "player_id int")
+    flagged = checks.flag_orphans(df, LOG, {"player": players})
+    text = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    assert flagged.where(checks.is_good()).count() == 10
+
+
 def test_report_and_samples(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     flagged = checks.flag_rows(df, LOG, parents(spark))

@@ -70,6 +70,32 @@ def test_load_all(spark, csv_folder, tmp_path):
     assert "unknown column: nonsense" in reasons["player_season", 1]
 
 
+def test_checked_rows_are_written_where_they_are(spark, csv_folder, tmp_path):
+    """Before, the wide rows were shuffled and sorted once more to be written."""
+    lines = "".join(f"1,g{i},1610612737,{22000 + i % 3},W,1,1\n" for i in range(300))
+    write(csv_folder, "player_game_log", "player_id,game_id,team_id,season_id,wl,pts,min\n" + lines)
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "3000")
+    try:
+        tasks = spark.read.text(f"{csv_folder}/player_game_log.csv").rdd.getNumPartitions()
+        load = load_all(spark, str(csv_folder), str(tmp_path / "out"))
+        assert load.report.where("table_name = 'player_game_log'").first().total == 300
+    finally:
+        spark.conf.unset(key)
+    files = list((tmp_path / "out" / "player_game_log").rglob("*.parquet"))
+    assert tasks > 1 and len(files) > 3
+
+
+def test_compressed_files_load_alike(spark, tmp_path):
+    teams = spark.createDataFrame([(1, "A,\n\"x\""), (2, " b ")], "team_id int, nickname string")
+    for name, how in (("plain", None), ("packed", "gzip")):
+        write_csv(teams, str(tmp_path / name / "team.csv"), compression=how)
+        load = load_all(spark, str(tmp_path / name), str(tmp_path / name / "out"))
+        rows = load.tables["team"].orderBy("team_id").collect()
+        assert [(r.team_id, r.nickname) for r in rows] == [(1, "A,\n\"x\""), (2, " b ")]
+    assert list((tmp_path / "packed" / "team.csv").glob("*.csv.gz"))
+
+
 def test_gp_is_truncated_by_name(spark, csv_folder):
     rows = read_table_csv(spark, f"{csv_folder}/player_season.csv", TABLES["player_season"])
     assert rows.first().gp == 70.0
